@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import sentencepiece_codec
+from treelake.llm import mpeg_audio, packing, sentencepiece_codec, token_store
 from treelake.llm.common import read
 
 
@@ -15,5 +15,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op7_packing": op7_packing,
+    "op8_token_store": op8_token_store,
+    "op10_mpeg_audio": op10_mpeg_audio,
+}
 ORACLE_SQL: dict[str, str] = {}
