@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import mpeg_audio, packing, sentencepiece_codec, token_store
+from treelake.llm import mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_store
 from treelake.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,14 +27,20 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
+    "op9_simhash": op9_simhash,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {}
