@@ -68,3 +68,15 @@ def local_path(uri: str) -> str:
     if "://" in uri:
         raise ValueError(f"the shared folder must be mounted on all executors, not {uri}")
     return os.path.abspath(uri)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text and y of at most per_class rows of each class, none of them held out, in an order by hash of the id; and the
+    number of labelled rows of each class. Ids with two labels, or none, aren't used."""
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("_top"))
+    known = known.where((F.col("y") == F.col("_top")) & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("y").cast("int").alias("y"))
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    ids = known.where("false")
+    for y in (0, 1):
+        ids = ids.unionByName(known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
+    return texts(docs).join(F.broadcast(ids), "doc_id"), sizes  # at most 2 * per_class ids

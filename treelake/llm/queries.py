@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_store
+from treelake.llm import mpeg_audio, packing, quality_crf, quality_rules, sentencepiece_codec, simhash, token_store, toxicity
 from treelake.llm.common import read
 
 
@@ -15,6 +15,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_crf.scores(docs, quality_crf.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,6 +47,8 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
