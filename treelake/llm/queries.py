@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import mpeg_audio, packing, quality_crf, quality_rules, sentencepiece_codec, simhash, token_store, toxicity
+from treelake.llm import mpeg_audio, packing, quality_crf, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_store, toxicity
 from treelake.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
