@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import mpeg_audio, packing, quality_crf, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_store, toxicity
+from treelake.llm import mpeg_audio, packing, pii, quality_crf, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_store, toxicity
 from treelake.llm.common import read
 
 
@@ -33,6 +33,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.fit(docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
