@@ -4,7 +4,337 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from treelake.functions import expressions as x
+from treelake.functions.objects import EMPTY_TREE
+from treelake.operators import blame, diff, graph, grep, paths, reports, workspace
+from treelake.plans import virtual as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _count(pattern: str) -> str:
+    return f"(length(line) - length(replace(line, '{pattern}', ''))) // {len(pattern)}"
+
+
+# Search
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, {_count('the')} AS n_matches FROM lines WHERE contains(line, 'the')")
+def grep_literal(spark, d):
+    return grep.grep_lines(v.files(spark, d), "the")
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, len(regexp_extract_all(line, '[0-9]{{3}}')) AS n_matches FROM lines WHERE regexp_matches(line, '[0-9]{{3}}')")
+def grep_regex(spark, d):
+    return grep.grep_lines(v.files(spark, d), "[0-9]{3}", regex=True)
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, len(regexp_extract_all(line, '(?i)THE')) AS n_matches FROM lines WHERE regexp_matches(line, '(?i)THE')")
+def grep_ci(spark, d):
+    return grep.grep_lines(v.files(spark, d), "THE", ignore_case=True)
+
+
+@query(f"WITH {v.LINES}, c AS (SELECT path, line_number, line, coalesce(string_agg(line, '|') OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(line, '|') OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after FROM lines) SELECT path, line_number, line, {_count('the')} AS n_matches, before, after FROM c WHERE contains(line, 'the')")
+def grep_context(spark, d):
+    found = grep.grep_lines(v.files(spark, d), "the", before=3, after=3)
+    return found.select("path", "line_number", "line", "n_matches", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, {_count('the')} AS n_matches FROM lines WHERE contains(line, 'the') ORDER BY path, line_number LIMIT 20")
+def grep_topk(spark, d):
+    return grep.grep_top(grep.grep_lines(v.files(spark, d), "the"), 20)
+
+
+PATTERNS = {"the": ("the", False, False), "der": ("der", False, False), "digits": ("[0-9]{3}", True, False), "THE": ("THE", False, True)}
+
+
+@query(f"WITH {v.LINES} SELECT 'the' AS tag, path, line_number, line, {_count('the')} AS n_matches FROM lines WHERE contains(line, 'the') UNION ALL SELECT 'der', path, line_number, line, {_count('der')} FROM lines WHERE contains(line, 'der') UNION ALL SELECT 'digits', path, line_number, line, len(regexp_extract_all(line, '[0-9]{{3}}')) FROM lines WHERE regexp_matches(line, '[0-9]{{3}}') UNION ALL SELECT 'THE', path, line_number, line, len(regexp_extract_all(line, '(?i)THE')) FROM lines WHERE regexp_matches(line, '(?i)THE')")
+def multi_grep(spark, d):
+    return grep.multi_grep(v.files(spark, d), PATTERNS)
+
+
+@query(f"WITH {v.LINES} SELECT (SELECT sum({_count('the')})::BIGINT FROM lines WHERE contains(line, 'the')) AS match_count, (SELECT count(DISTINCT path) FROM lines WHERE contains(line, 'the')) AS files_matched, count(*) AS files_scanned, sum(octet_length(encode(data)))::BIGINT AS bytes_scanned FROM files")
+def grep_stats(spark, d):
+    f = v.files(spark, d)
+    return grep.totals(f, grep.grep_lines(f, "the"))
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, {_count('der')} AS n_matches FROM lines WHERE contains(line, 'der') AND regexp_matches(path, '^src[^/]*/de/[^/]*\\.txt$')")
+def grep_in_glob(spark, d):
+    return grep.grep_lines(v.files(spark, d), "der", path_glob="src*/de/*.txt")
+
+
+@query()
+def grep_whole(spark, d):
+    """Matches may span lines."""
+    return grep.grep_whole(v.files(spark, d), r"\.\n[A-Z]")
+
+
+# Paths
+
+
+@query(f"WITH {v.FILES} SELECT path, {v.SHA.format('data')} AS sha, octet_length(encode(data))::BIGINT AS size FROM files")
+def blob_ids(spark, d):
+    return v.files(spark, d).select("path", x.blob_id(F.col("data")).alias("sha"), F.octet_length("data").cast("long").alias("size"))
+
+
+@query(f"WITH {v.FILES} SELECT path, mode, {v.SHA.format('data')} AS sha, len(string_split(path, '/'))::BIGINT AS depth FROM files")
+def walk(spark, d):
+    return v.files(spark, d).select("path", "mode", x.blob_id(F.col("data")).alias("sha"), x.path_depth(F.col("path")).cast("long").alias("depth"))
+
+
+@query("SELECT 'r' || r_regionkey || '/n' || n_nationkey || '/c' || c_custkey AS path, '100644' AS mode, 'c' || c_custkey AS sha, 3 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def region_tree_walk(spark, d):
+    return paths.walk(v.geo_entries(spark, d), spark.createDataFrame([("root",)], "root string")).drop("root")
+
+
+@query("SELECT 'r' || r_regionkey || '/n' || n_nationkey || '/c' || c_custkey AS path, '100644' AS mode, 'c' || c_custkey AS sha, 3 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 AND c_custkey % 10 = 1 ")
+def region_tree_glob(spark, d):
+    return paths.walk_glob(v.geo_entries(spark, d), spark.createDataFrame([("root",)], "root string"), "r1/*/c*1").drop("root")
+
+
+@query(f"WITH {v.FILES} SELECT DISTINCT split_part(path, '/', 2) AS name, '40000' AS mode, NULL::VARCHAR AS sha FROM files WHERE starts_with(path, 'src0/')")
+def ls(spark, d):
+    return paths.ls(walk(spark, d), "src0")
+
+
+@query(f"WITH {v.FILES} SELECT path, 'blob' AS type, mode, octet_length(encode(data))::BIGINT AS size FROM files UNION ALL SELECT DISTINCT split_part(path, '/', 1), 'tree', '40000', NULL FROM files UNION ALL SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 'tree', '40000', NULL FROM files")
+def stat(spark, d):
+    return paths.stat(v.files(spark, d))
+
+
+@query(f"WITH {v.FILES}, w AS (SELECT path FROM files UNION ALL SELECT path || '.gone' FROM files) SELECT path FROM w WHERE path IN (SELECT path FROM files)")
+def exists(spark, d):
+    f = v.files(spark, d).select("path")
+    return paths.exists(f, f.unionByName(f.select(F.concat("path", F.lit(".gone")).alias("path"))))
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line FROM lines WHERE line_number BETWEEN 2 AND 4")
+def read_lines(spark, d):
+    return paths.read_lines(v.files(spark, d), 2, 4)
+
+
+@query(f"WITH {v.FILES} SELECT path, mode, doc_id, data FROM files WHERE path = 'src1/en/1.txt'")
+def read_path(spark, d):
+    return paths.read_path(v.files(spark, d), "/src1/en/1.txt")
+
+
+@query(f"WITH {v.FILES} SELECT path FROM files WHERE regexp_matches(path, '^(?:.*/)?[^/]*1\\.txt$')")
+def glob_globstar(spark, d):
+    return paths.glob(v.files(spark, d).select("path"), "**/*1.txt")
+
+
+@query(f"WITH {v.FILES} SELECT path FROM files WHERE regexp_matches(path, '^src0/(?:de|en)/[^/]*\\.txt$')")
+def glob_brace(spark, d):
+    return paths.glob(v.files(spark, d).select("path"), "src0/{de,en}/*.txt")
+
+
+@query(f"WITH {v.FILES} SELECT path FROM files WHERE regexp_matches(path, '^[^/]*/[^/][^/]/[^/]*\\.txt$')")
+def glob_star(spark, d):
+    return paths.glob(v.files(spark, d).select("path"), "*/??/*.txt")
+
+
+@query(f"WITH {v.FILES}, a AS (SELECT split_part(path, '/', 1) AS path FROM files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM files) SELECT path, count(*) AS n_files FROM a GROUP BY path")
+def dirs(spark, d):
+    return paths.directories(v.files(spark, d))
+
+
+@query(f"WITH {v.FILES}, s AS (SELECT path FROM files WHERE starts_with(path, 'src1/')) SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS path, 'directory' AS type, 1 AS depth FROM s UNION ALL SELECT path, 'file', 2 FROM s")
+def vfs_walk(spark, d):
+    return paths.vfs_walk(v.files(spark, d), "src1", include_dirs=True)
+
+
+# Ids and names
+
+
+@query("SELECT event_id, 'user' || user_id AS name, 'u' || user_id || '@example.org' AS email, floor(epoch(ts))::BIGINT AS time FROM events")
+def identity_parse(spark, d):
+    e = v.table(spark, d, "events")
+    line = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(" <u"), F.col("user_id").cast("string"), F.lit("@example.org> "), F.col("ts").cast("timestamp").cast("long").cast("string"), F.lit(" +0000"))
+    name, email, time = x.identity(line)
+    return e.select("event_id", name.alias("name"), email.alias("email"), time.alias("time"))
+
+
+_COMMIT = f"encode('tree {EMPTY_TREE}' || chr(10) || 'author u <u> ' || floor(epoch(ts))::BIGINT || ' +0000' || chr(10) || 'committer u <u> ' || floor(epoch(ts))::BIGINT || ' +0000' || chr(10) || chr(10) || event_type || chr(10))"
+
+
+@query(f"SELECT event_id, sha1(encode('commit ' || octet_length({_COMMIT})) || '\\x00'::BLOB || {_COMMIT}) AS sha FROM events")
+def commit_ids(spark, d):
+    e = v.table(spark, d, "events")
+    who = F.concat(F.lit("u <u> "), F.col("ts").cast("timestamp").cast("long").cast("string"), F.lit(" +0000\n"))
+    text = F.concat(F.lit(f"tree {EMPTY_TREE}\nauthor "), who, F.lit("committer "), who, F.lit("\n"), "event_type", F.lit("\n"))
+    return e.select("event_id", x.object_id("commit", F.encode(text, "UTF-8")).alias("sha"))
+
+
+_TREE = "sha1(encode('tree ' || octet_length(unhex(h))) || '\\x00'::BLOB || unhex(h))"
+
+
+@query(
+    f"WITH {v.FILES}, a AS (SELECT split_part(path, '/', 1) AS s, split_part(path, '/', 2) AS l, string_agg(hex(encode(mode || ' ' || split_part(path, '/', 3)) || '\\x00'::BLOB) || {v.SHA.format('data')}, '' ORDER BY split_part(path, '/', 3)) AS h FROM files GROUP BY 1, 2), "
+    f"b AS (SELECT s, l, {_TREE} AS sha FROM a), c AS (SELECT s, string_agg(hex(encode('40000 ' || l) || '\\x00'::BLOB) || sha, '' ORDER BY l || '/') AS h FROM b GROUP BY s), e AS (SELECT s, {_TREE} AS sha FROM c), f AS (SELECT string_agg(hex(encode('40000 ' || s) || '\\x00'::BLOB) || sha, '' ORDER BY s || '/') AS h FROM e) "
+    f"SELECT s || '/' || l AS dir, sha FROM b UNION ALL SELECT s, sha FROM e UNION ALL SELECT '', {_TREE} FROM f"
+)
+def tree_ids(spark, d):
+    return workspace.trees(v.files(spark, d).select("path", "mode", x.blob_id(F.col("data")).alias("sha"))).select("dir", "sha")
+
+
+@query("SELECT page_id, url AS name, (starts_with(url, 'http') AND NOT regexp_matches(url, '^/|/$|\\.$|\\.\\.|@\\{|//|[ ~^:?*\\[\\\\]') AND contains(url, '/')) AS valid FROM pages")
+def ref_names(spark, d):
+    return v.table(spark, d, "pages").select("page_id", F.col("url").alias("name"), x.valid_ref(F.col("url")).alias("valid"))
+
+
+@query("SELECT event_id, printf('%o', (event_id * 73) % 32768) AS mode, CASE WHEN printf('%o', (event_id * 73) % 32768) IN ('40000', '160000', '120000', '100644', '100755') THEN printf('%o', (event_id * 73) % 32768) WHEN ((event_id * 73) % 32768) & 73 <> 0 THEN '100755' ELSE '100644' END AS canonical FROM events")
+def canonical_modes(spark, d):
+    mode = F.conv((F.col("event_id") * 73 % 32768).cast("string"), 10, 8)
+    return v.table(spark, d, "events").select("event_id", mode.alias("mode"), x.canonical_mode(mode).alias("canonical"))
+
+
+@query("SELECT conv_id, turn, printf('%04x', octet_length(encode(text)) + 4) AS head FROM conversations")
+def packet_lines(spark, d):
+    p = x.packet(F.encode("text", "UTF-8"))
+    return v.table(spark, d, "conversations").select("conv_id", "turn", F.decode(F.substring(p, 1, 4), "UTF-8").alias("head"))
+
+
+# Changes
+
+
+@query(f"WITH {v.BASE} SELECT * FROM changes WHERE op IS NOT NULL")
+def diff_ops(spark, d):
+    return diff.diff_files(v.base(spark, d), v.head(spark, d))
+
+
+@query(f"WITH {v.BASE} SELECT path, CASE op WHEN 'added' THEN 'added' WHEN 'removed' THEN 'deleted' ELSE 'modified' END AS status FROM changes WHERE op IS NOT NULL")
+def workspace_diff(spark, d):
+    return diff.workspace_changes(diff.diff_files(v.base(spark, d), v.head(spark, d)))
+
+
+@query(f"WITH {v.BASE} SELECT op, count(*) AS n FROM changes WHERE op IS NOT NULL GROUP BY op")
+def diff_summary(spark, d):
+    return diff.diff_files(v.base(spark, d), v.head(spark, d)).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query()
+def line_diff(spark, d):
+    h = v.history(spark, d)
+    old = h.select("file", (F.col("version") + 1).alias("version"), F.col("text").alias("old"))
+    return diff.line_diff(h.join(old, ["file", "version"]).select(F.concat_ws(":", "file", F.col("version").cast("string")).alias("key"), "old", F.col("text").alias("new")))
+
+
+@query()
+def blame_lines(spark, d):
+    return blame.blame(v.history(spark, d))
+
+
+@query("WITH h AS (SELECT a.conv_id, b.turn AS version, string_agg(a.text, chr(10) ORDER BY a.turn) AS text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn BETWEEN b.turn - 2 AND b.turn GROUP BY 1, 2) SELECT conv_id::VARCHAR AS file, sha1(text) AS sha, min(version) AS first_version FROM h GROUP BY 1, 2")
+def path_history(spark, d):
+    return blame.path_history(v.history(spark, d).withColumn("sha", F.sha1(F.encode("text", "UTF-8"))))
+
+
+# Graph
+
+_ANCESTORS = "a AS (SELECT {0}::BIGINT AS id UNION SELECT dst FROM edges JOIN a ON src = id)"
+
+
+def _from(spark, d, node: int) -> DataFrame:
+    return graph.reachable(v.edges(spark, d).select("src", "dst"), spark.createDataFrame([(node,)], "id long"))
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)} SELECT id FROM a")
+def reachable(spark, d):
+    return _from(spark, d, 901)
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)} SELECT id, floor(epoch(ts))::BIGINT AS time, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT DESC, id) AS ord FROM a JOIN events ON id = event_id")
+def ancestors_date(spark, d):
+    rows = graph.date_ordered(_from(spark, d, 901), v.times(spark, d))
+    # one commit's ancestors, which are few here
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("time"), "id")).cast("long"))
+
+
+@query()
+def ancestors_topo(spark, d):
+    e = v.edges(spark, d).groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("parent_ix", "dst"))), lambda p: p.dst.cast("string")).alias("parents"))
+    c = v.times(spark, d).join(e, "id", "left").select(F.lit("events").alias("repo"), F.col("id").cast("string").alias("sha"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), "time")
+    return graph.ordered_walk(c, spark.createDataFrame([("events", "901")], "repo string, start string"), "topo")
+
+
+@query(f"WITH {v.EDGES} SELECT dst AS id, count(*) AS n_children FROM edges GROUP BY dst")
+def indegree(spark, d):
+    return graph.indegree(v.edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)}, b AS (SELECT 802::BIGINT AS id UNION SELECT dst FROM edges JOIN b ON src = id), c AS (SELECT id FROM a INTERSECT SELECT id FROM b) SELECT id FROM c WHERE id NOT IN (SELECT dst FROM edges JOIN c ON src = id)")
+def merge_base_all(spark, d):
+    return graph.merge_bases(v.edges(spark, d).select("src", "dst"), 901, 802)
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)}, b AS (SELECT 802::BIGINT AS id UNION SELECT dst FROM edges JOIN b ON src = id) SELECT id FROM a EXCEPT SELECT id FROM b")
+def push_set(spark, d):
+    one = lambda n: spark.createDataFrame([(n,)], "id long")
+    return graph.to_send(v.edges(spark, d).select("src", "dst"), one(901), one(802))
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, a AS (SELECT 901::BIGINT AS id UNION SELECT dst FROM edges JOIN a ON src = id WHERE parent_ix = 0) SELECT id FROM a")
+def first_parents(spark, d):
+    return graph.first_parents(v.edges(spark, d), spark.createDataFrame([(901,)], "id long"))
+
+
+_REFS = "r AS (SELECT 'refs/heads/conv-' || conv_id AS name, sha1(conv_id || ':' || max(turn)) AS sha FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_REFS} SELECT name, sha FROM r UNION ALL SELECT 'HEAD', sha FROM r WHERE name = 'refs/heads/conv-0'")
+def refs_resolve(spark, d):
+    return graph.resolve(v.refs(spark, d))
+
+
+@query(f"WITH {_REFS} SELECT name, 'direct' AS kind, sha, NULL::VARCHAR AS target FROM r WHERE starts_with(name, 'refs/heads/conv-1')")
+def refs_list(spark, d):
+    return graph.list_refs(v.refs(spark, d), ["refs/heads/conv-1"])
+
+
+@query("SELECT 'refs/heads/conv-0' AS name")
+def default_branch(spark, d):
+    return graph.default_branch(v.refs(spark, d))
+
+
+# Reports
+
+
+@query(f"WITH {v.FILES} SELECT 'blob' AS type, count(*) AS object_count, sum(octet_length(encode(data)))::BIGINT AS total_bytes FROM files")
+def memory_report(spark, d):
+    return reports.memory_report(v.files(spark, d).select(F.lit("blob").alias("type"), F.octet_length("data").alias("size")))
+
+
+@query("SELECT event_type AS event, count(*) AS n, sum(trunc(value * 1000)::BIGINT)::BIGINT AS total_us FROM events GROUP BY 1")
+def profile_totals(spark, d):
+    return reports.profile_totals(v.profile_events(spark, d))
+
+
+@query("WITH e AS (SELECT event_type AS event, trunc(value * 1000)::BIGINT AS u FROM events) SELECT event, round(quantile_cont(u, 0.5), 3) AS p50, round(quantile_cont(u, 0.95), 3) AS p95, min(u) AS least, max(u) AS most FROM e GROUP BY 1")
+def latency_percentiles(spark, d):
+    return reports.percentiles(v.profile_events(spark, d)).select("event", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), "least", "most")
+
+
+@query(f"WITH {v.FILES}, s AS (SELECT {v.SHA.format('data')} AS sha FROM files), n AS (SELECT ('0x' || substr(sha, 1, 2))::INTEGER AS first_byte, count(*) AS n FROM s GROUP BY 1) SELECT first_byte, n, sum(n) OVER (ORDER BY first_byte)::BIGINT AS running FROM n")
+def idx_fanout(spark, d):
+    return reports.fanout(v.files(spark, d).select(x.blob_id(F.col("data")).alias("sha")))
+
+
+@query("WITH e AS (SELECT event_type AS cache, event_id AS "at", trunc(value * 1000)::BIGINT AS size FROM events), k AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY "at" DESC)::BIGINT AS kept_bytes FROM e) SELECT cache, "at", size, kept_bytes FROM k WHERE kept_bytes <= 100000")
+def cache_evict(spark, d):
+    e = v.profile_events(spark, d).select(F.col("event").alias("cache"), F.col("event_id").alias("at"), F.col("duration_us").alias("size"))
+    return reports.cache_keeps(e, 100000)
