@@ -334,7 +334,7 @@ def idx_fanout(spark, d):
     return reports.fanout(v.files(spark, d).select(x.blob_id(F.col("data")).alias("sha")))
 
 
-@query("WITH e AS (SELECT event_type AS cache, event_id AS "at", trunc(value * 1000)::BIGINT AS size FROM events), k AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY "at" DESC)::BIGINT AS kept_bytes FROM e) SELECT cache, "at", size, kept_bytes FROM k WHERE kept_bytes <= 100000")
+@query("WITH e AS (SELECT event_type AS cache, event_id AS \"at\", trunc(value * 1000)::BIGINT AS size FROM events), k AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY \"at\" DESC)::BIGINT AS kept_bytes FROM e) SELECT cache, \"at\", size, kept_bytes FROM k WHERE kept_bytes <= 100000")
 def cache_evict(spark, d):
     e = v.profile_events(spark, d).select(F.col("event").alias("cache"), F.col("event_id").alias("at"), F.col("duration_us").alias("size"))
     return reports.cache_keeps(e, 100000)
