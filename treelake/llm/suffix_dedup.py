@@ -8,7 +8,7 @@ are, and levels of equal size are merged, so that n suffixes lie in O(log n) lev
 
 1. Chosen suffixes are compared by length // 2 bytes. What is unique there is in no repeat.
 2. The rest are compared by all bytes of the windows that chose them. Equal ones are repeats as a whole.
-3. What is left lies at the ends of repeats; their windows are compared one by one by two fingerprints of 64 bits.
+3. What is left lies at the ends of repeats; the windows of one suffix are compared one by one by two fingerprints of 64 bits.
 
 Each comparison first runs over what one task holds: of equal keys there only one goes on under its key, marked as repeated, and the
 others go on under keys of their own. So a passage in a third of all documents puts at most one row a task into one place.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import rows_batch
+from treelake.llm.common import cut, rows_batch
 
 U = np.uint64
 SEGMENT, PLACE = 1 << 18, 20  # windows handled at once; bits of a place among them
@@ -219,6 +219,7 @@ def _emit(kinds: dict[str, type], cols: dict[str, np.ndarray], keep: np.ndarray,
 #: route: where a row goes; routed: it stands for its key there; known: its key is known to be repeated.
 STEP = {"route": U, "kh": U, "wh": U, "uid": U, "at": np.int32, "p1": np.int32, "p2": np.int32, "routed": np.bool_, "known": np.bool_, "full": np.bool_, "rep": np.bool_}
 WINDOW = {"route": U, "check": U, "uid": U, "p1": np.int32, "p2": np.int32, "routed": np.bool_, "known": np.bool_, "want": np.bool_}
+WINDOW_DDL = "route long, check long, uid long, p1 int, p2 int, routed boolean, known boolean, want boolean, context binary"
 SPAN = {"uid": U, "p1": np.int32, "p2": np.int32}
 
 
@@ -299,42 +300,92 @@ def _contested(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _emit(STEP, cols, cols["full"] | cols["rep"])
 
 
+def _window_batch(cols: dict[str, np.ndarray], contexts: list[bytes | None]) -> pa.RecordBatch:
+    kinds = {U: pa.int64(), np.int32: pa.int32(), np.bool_: pa.bool_()}
+    arrays = [pa.array(cols[c].view(np.int64) if k is U else cols[c].astype(k)) for c, k in WINDOW.items()] + [pa.array(contexts, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, schema=pa.schema([(c, kinds[k]) for c, k in WINDOW.items()] + [("context", pa.binary())]))
+
+
 def _windows(length: int) -> Callable:
+    """Contested windows of each document. Those of one suffix travel together, as the bytes that they cover, routed by the suffix;
+    but of a suffix with very many kinds of windows each travels for itself, routed by its own fingerprint."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
+        alone: list[tuple[np.ndarray, ...]] = []
         for b in it:
             data, starts = joined(b.column(1))
+            out: list[tuple] = []
             for k, uid in enumerate(b.column(0).to_pylist()):
-                raw = data[starts[k] : starts[k + 1]]
-                spans = b.column(2)[k].values
-                p1, p2 = spans.field(0).to_numpy(), spans.field(1).to_numpy()
-                full, rep = spans.field(2).to_numpy(zero_copy_only=False), spans.field(3).to_numpy(zero_copy_only=False)
-                a, e = p1[full], p2[full]
-                zero = np.zeros(len(a), U)
-                me = np.uint64(uid & (1 << 64) - 1)
-                parts.append((zero, zero, np.full(len(a), me), a, e, np.ones(len(a), bool), np.ones(len(a), bool)))
-                if rep.any():
-                    runs = p2[rep] - p1[rep] + 1
-                    p = np.repeat(p1[rep], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-                    p, at = np.unique(p, return_index=True)
-                    lo, hi = int(p[0]), int(p[-1]) + length
-                    key, check = (span_hash(prefix_hash(raw[lo:hi], i), p - lo, p - lo + length, i) for i in (0, 1))
-                    parts.append((key, check, np.full(len(p), me), p, p, np.zeros(len(p), bool), ~np.repeat(full[rep], runs)[at]))
-        if not parts:
-            return
-        key, check, uid, p1, p2, span, want = map(np.concatenate, zip(*parts))
-        cols = {"check": check, "uid": uid, "p1": p1, "p2": p2, "want": want}
-        _route(cols, key, check, ~span)
-        cols["known"] = cols["known"] | span
-        yield from _emit(WINDOW, cols, np.ones(len(key), bool))
+                raw, me = data[starts[k] : starts[k + 1]], uid & (1 << 64) - 1
+                for span in b.column(2)[k].as_py():
+                    p1, p2, full = span["p1"], span["p2"], span["full"]
+                    if full:
+                        out.append((me * 0x9E3779B97F4A7C15 + p1 & (1 << 64) - 1, 0, me, p1, p2, False, True, True, None))
+                    if span["rep"] and not span["hot"]:
+                        out.append((span["kh"] & (1 << 64) - 1, 0, me, p1, p2, True, False, not full, raw[p1 : p2 + length].tobytes()))
+                    elif span["rep"]:
+                        p = np.arange(p1, p2 + 1)
+                        part = raw[p1 : p2 + length]
+                        key, check = (span_hash(prefix_hash(part, i), p - p1, p - p1 + length, i) for i in (0, 1))
+                        alone.append((key, check, np.full(len(p), me, U), p, np.full(len(p), not full)))
+            if out:
+                cols = dict(zip(WINDOW, [np.array(c, k) for c, k in zip(zip(*out), WINDOW.values())]))
+                yield _window_batch(cols, [r[-1] for r in out])
+        if alone:
+            key, check, uid, p, want = map(np.concatenate, zip(*alone))
+            cols = {"check": check, "uid": uid, "p1": p, "p2": p, "want": want}
+            _route(cols, key, check)
+            for s in range(0, len(key), 50_000):
+                part = {c: x[s : s + 50_000] for c, x in cols.items()}
+                yield _window_batch(part, [None] * len(part["uid"]))
 
     return run
 
 
-def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (got := _reduce(it, WINDOW, "check")) is not None:
-        cols, twice, _ = got
-        yield from _emit(SPAN, cols, twice & cols["want"])
+def _repeated(length: int) -> Callable:
+    """Runs of repeated windows."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels()
+        rows: list[tuple[np.ndarray, ...]] = []  # of each indexed window: document, start, number of its context, wanted, known
+        spans = 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            c = Rows(WINDOW).read(b)
+            has = b.column(b.num_columns - 1).is_valid().to_numpy(zero_copy_only=False)
+            single = c["routed"] & ~has
+            plain = ~c["routed"] & c["known"] & c["want"]
+            if plain.any():
+                yield from _emit(SPAN, c, plain)
+            if single.any():
+                levels.add(c["route"][single], c["check"][single])
+                n = int(single.sum())
+                rows.append((c["uid"][single], c["p1"][single], np.arange(spans, spans + n), c["want"][single], c["known"][single]))
+                spans += n
+            if has.any():
+                column = b.column(b.num_columns - 1).filter(pa.array(has)).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+                data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                count = (c["p2"][has] - c["p1"][has] + 1).astype(np.int64)
+                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(offsets[:-1] - offsets[0], count) + within
+                key, check = (span_hash(prefix_hash(data, i), at, at + length, i) for i in (0, 1))
+                levels.add(key, check)
+                number = np.repeat(np.arange(spans, spans + len(count)), count)
+                spans += len(count)
+                rows.append((np.repeat(c["uid"][has], count), np.repeat(c["p1"][has], count) + within, number, np.repeat(c["want"][has], count), np.zeros(len(at), bool)))
+        if rows:
+            uid, p, number, want, known = map(np.concatenate, zip(*rows))
+            hit = (levels.result()[0] | known) & want
+            begin = hit.copy()
+            begin[1:] &= ~hit[:-1] | (number[1:] != number[:-1])
+            end = hit.copy()
+            end[:-1] &= ~hit[1:] | (number[1:] != number[:-1])
+            cols = {"uid": uid[begin], "p1": p[begin], "p2": p[end]}
+            yield from _emit(SPAN, cols, np.ones(len(cols["uid"]), bool))
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -343,15 +394,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_uid": F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text)})
 
 
-def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """uid, spans: starts of repeated windows in each document that has some, as runs (first and last start)."""
-    keyed = _keyed(docs.select("doc_id", "text")).select(F.col("_uid").alias("uid"), F.col("_text").alias("text"))
-    step = keyed.mapInArrow(_choose(length), _ddl(STEP))
+def repeats(keyed: DataFrame, length: int = 400, hot: int = 5000) -> DataFrame:
+    """_uid, spans: starts of repeated windows of each document of _keyed rows that has some, as runs (first and last start). hot: from
+    so many kinds of windows on those of one suffix aren't compared in one task."""
+    columns = [c for c in keyed.columns if c not in ("_uid", "_text")]
+    step = keyed.select(F.col("_uid").alias("uid"), F.col("_text").alias("text")).mapInArrow(_choose(length), _ddl(STEP))
     for by in (_by_suffix, _by_windows, _contested):
         step = step.repartition("route").mapInArrow(by, _ddl(STEP))
-    of = step.groupBy("uid").agg(F.collect_set(F.struct("p1", "p2", "full", "rep")).alias("spans"))
-    found = keyed.join(of, "uid").select("uid", "text", "spans").mapInArrow(_windows(length), _ddl(WINDOW)).repartition("route").mapInArrow(_repeated, _ddl(SPAN))
-    return found.groupBy("uid").agg(F.collect_list(F.struct("p1", "p2")).alias("spans"))
+    step = cut(step.select("uid", "kh", "p1", "p2", "full", "rep"), "suffixes")
+    many = step.where("rep").groupBy("kh").count().where(F.col("count") > hot).select("kh", F.lit(True).alias("hot"))
+    of = step.join(many, "kh", "left").groupBy(F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("p1", "p2", "full", "rep", "kh", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+    # all columns are read, so that the shuffled documents are the ones that the spans are joined to in the end
+    found = keyed.join(of, "_uid").select("_uid", "_text", "spans", *columns).mapInArrow(_windows(length), WINDOW_DDL)
+    found = found.repartition("route").mapInArrow(_repeated(length), _ddl(SPAN))
+    return found.groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("p1", "p2")).alias("spans"))
 
 
 def removed_mask(n: int, p1: np.ndarray, p2: np.ndarray, length: int) -> np.ndarray:
@@ -385,14 +441,14 @@ def digests(docs: DataFrame, length: int = 400) -> DataFrame:
                 out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             yield rows_batch(schema, [b.column(0), *zip(*out)])
 
-    rows = keyed.join(repeats(docs, length).withColumnRenamed("uid", "_uid"), "_uid", "left").select("doc_id", "_text", "spans")
+    rows = keyed.join(repeats(keyed, length), "_uid", "left").select("doc_id", "_text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """docs with the repeated bytes cut out of text, all other columns as they are. Bytes of a character that is cut in two go with it."""
     keyed = _keyed(docs)
-    joined_ = keyed.join(repeats(docs, length).withColumnRenamed("uid", "_uid"), "_uid", "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    joined_ = keyed.join(repeats(keyed, length), "_uid", "left").select(*docs.columns, F.col("spans").alias("_spans"))
     text = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
