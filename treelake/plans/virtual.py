@@ -75,5 +75,6 @@ def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHA = "sha1(encode('blob ' || octet_length(encode({0}))) || '\\x00'::BLOB || encode({0}))"
 FILES = "files AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 13 = 0 THEN '100755' ELSE '100644' END AS mode, text AS data, doc_id FROM documents)"
 LINES = FILES + ", _l AS (SELECT path, string_split(data, chr(10)) AS l FROM files), _k AS (SELECT path, CASE WHEN l[len(l)] = '' THEN l[1:len(l)-1] ELSE l END AS l FROM _l), lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS line_number, unnest(l) AS line FROM _k)"
-BASE = FILES + f", base AS (SELECT path, mode, {SHA.format('data')} AS sha FROM files WHERE doc_id % 10 <> 0), head AS (SELECT path, CASE WHEN doc_id % 17 <> 0 THEN mode WHEN mode = '100644' THEN '100755' ELSE '100644' END AS mode, {SHA.format('CASE WHEN doc_id % 11 = 0 THEN replace(data, 'e', 'E') ELSE data END')} AS sha FROM files WHERE doc_id % 7 <> 0), changes AS (SELECT coalesce(b.path, h.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed' WHEN b.sha <> h.sha THEN 'modified' WHEN b.mode <> h.mode THEN 'mode_changed' END AS op, b.mode AS old_mode, h.mode AS new_mode, b.sha AS old_sha, h.sha AS new_sha FROM base b FULL JOIN head h ON b.path = h.path)"
+_HEAD = "CASE WHEN doc_id % 11 = 0 THEN replace(data, 'e', 'E') ELSE data END"
+BASE = FILES + f", base AS (SELECT path, mode, {SHA.format('data')} AS sha FROM files WHERE doc_id % 10 <> 0), head AS (SELECT path, CASE WHEN doc_id % 17 <> 0 THEN mode WHEN mode = '100644' THEN '100755' ELSE '100644' END AS mode, {SHA.format(_HEAD)} AS sha FROM files WHERE doc_id % 7 <> 0), changes AS (SELECT coalesce(b.path, h.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed' WHEN b.sha <> h.sha THEN 'modified' WHEN b.mode <> h.mode THEN 'mode_changed' END AS op, b.mode AS old_mode, h.mode AS new_mode, b.sha AS old_sha, h.sha AS new_sha FROM base b FULL JOIN head h ON b.path = h.path)"
 EDGES = "edges AS (SELECT event_id AS src, event_id // 2 AS dst, 0 AS parent_ix FROM events WHERE event_id >= 2 UNION ALL SELECT event_id, event_id // 3, 1 FROM events WHERE event_id >= 3)"
