@@ -127,7 +127,7 @@ def _level(bad: np.ndarray, sizes: np.ndarray) -> float:
 def train(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, weight: np.ndarray, rounds: int = 3, steps: int = 60, l2: float = 1e-3) -> Crf:
     crf, blocks = Crf(), list(_blocks(docs))
     line = [np.full(len(x), 0.0 if g else 1.0) for (x, _), g in zip(docs, good)]
-    for _ in range(rounds):
+    for turn in range(rounds):
         m1, m2, v1, v2, step = np.zeros(WIDTH), np.zeros((2, 2)), np.zeros(WIDTH), np.zeros((2, 2)), 0
         want = []
         for ks, x, mask in blocks:
@@ -147,10 +147,11 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, weight: n
             m1, m2, v1, v2 = 0.9 * m1 + 0.1 * gw, 0.9 * m2 + 0.1 * gp, 0.99 * v1 + 0.01 * gw**2, 0.99 * v2 + 0.01 * gp**2
             c1, c2 = 1 - 0.9**step, 1 - 0.99**step
             crf.w = crf.w - 0.15 * (m1 / c1) / (np.sqrt(v1 / c2) + 1e-8)
-            crf.pair = crf.pair - 0.15 * (m2 / c1) / (np.sqrt(v2 / c2) + 1e-8)
+            if turn:  # the first labels of bad documents' lines say nothing about neighbours
+                crf.pair = crf.pair - 0.15 * (m2 / c1) / (np.sqrt(v2 / c2) + 1e-8)
         for k, bad in enumerate(line_marginals(crf, docs)):
             if not good[k]:
-                line[k] = (bad > 0.5).astype(float)
+                line[k] = (bad > 0.1).astype(float)
                 line[k][int(np.argmax(bad))] = 1.0
     x = np.array([_level(b, s) for b, (_, s) in zip(line_marginals(crf, docs), docs)])
     a, b = 0.0, 0.0

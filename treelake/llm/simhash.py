@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
 def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
     """m groups of near equal size that keep correlated bits together."""
-    sure = bits.std(axis=0) > 0
+    sure = bits.std(axis=0) > 0 if len(bits) > 2 else np.zeros(BITS, bool)
     c = np.zeros((BITS, BITS))
     if len(bits) > 2 and sure.any():
         c[np.ix_(sure, sure)] = np.abs(np.corrcoef(bits[:, sure], rowvar=False)).reshape(sure.sum(), sure.sum())
