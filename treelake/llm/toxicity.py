@@ -40,7 +40,7 @@ class Vocabulary:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         at = self.at
-        new = {*words} - at.keys()
+        new = {w for w in {*words} if w not in at}
         if len(at) + len(new) > KNOWN:
             at.clear()
             new = {*words}
