@@ -149,7 +149,7 @@ def test_risk_control():
 def test_risk_controlled_cutoffs(spark):
     rows = [(k, "en", 100, 500, 0 if k % 100 else 60, 0, 0, 5) for k in range(3000)] + [(9000 + k, "en", 100, 500, 400, 0, 0, 5) for k in range(50)]
     stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    limits = quality_rules.fit(stats, spark.createDataFrame([(k, 1) for k in range(3000)], "doc_id long, quality int")).of("en")
+    limits = quality_rules.fit(stats, spark.createDataFrame([(k, 1) for k in range(3000)], "doc_id long, quality int"), risk=0.02).of("en")
     assert limits[0] == 0.75  # one good document in a hundred has 0.6 symbols a word, which is over the risk
     assert quality_rules.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).of("en")[0] == float("inf")
 

@@ -126,7 +126,7 @@ def _rates() -> list:
 BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> Limits:
+def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> Limits:
     """Cutoffs from all labelled good documents that pass the base rule. What comes to the driver is a count for each language,
     rate and number of cutoffs exceeded."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
@@ -149,7 +149,7 @@ def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.02, level: float =
     return Limits(found)
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:
     """doc_id, counts, base_failed and kept of each document."""
     stats = cut(statistics(docs), "quality-statistics")
     limits = fit(stats, labels, risk, level)
@@ -164,7 +164,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: floa
     return stats.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ok).alias("kept"), "n_lines")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:
     """The rows of docs that are kept, with all their columns. A second pass counts again, so that no text is shuffled."""
     limits = fit(statistics(docs), labels, risk, level)
     names = docs.columns
