@@ -62,7 +62,8 @@ def loose_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
-    """Loose and packed objects, each once."""
+    """Loose and packed objects, each once; tables of this directory that are cached are read anew."""
+    spark.catalog.refreshByPath(os.path.join(path, "objects"))
     out = loose_objects(spark, path)
     packs = os.path.join(path, "objects", "pack")
     if os.path.isdir(packs) and any(f.endswith(".pack") for f in os.listdir(packs)):
