@@ -32,6 +32,7 @@ from treelake.llm.common import cut, rows_batch
 
 U = np.uint64
 SEGMENT, PLACE = 1 << 18, 20  # windows handled at once; bits of a place among them
+CONTEXTS = 1000  # contexts of contested windows handled at once; tables of powers are as long as their bytes
 NO_ID = -(1 << 63)
 _random = np.random.default_rng(20240229)
 TABLE = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -364,17 +365,20 @@ def _repeated(length: int) -> Callable:
                 rows.append((c["uid"][single], c["p1"][single], np.arange(spans, spans + n), c["want"][single], c["known"][single]))
                 spans += n
             if has.any():
-                column = b.column(b.num_columns - 1).filter(pa.array(has)).cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-                data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                count = (c["p2"][has] - c["p1"][has] + 1).astype(np.int64)
-                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at = np.repeat(offsets[:-1] - offsets[0], count) + within
-                key, check = (span_hash(prefix_hash(data, i), at, at + length, i) for i in (0, 1))
-                levels.add(key, check)
-                number = np.repeat(np.arange(spans, spans + len(count)), count)
-                spans += len(count)
-                rows.append((np.repeat(c["uid"][has], count), np.repeat(c["p1"][has], count) + within, number, np.repeat(c["want"][has], count), np.zeros(len(at), bool)))
+                at_rows = np.flatnonzero(has)
+                for k in range(0, len(at_rows), CONTEXTS):
+                    some = at_rows[k : k + CONTEXTS]
+                    column = b.column(b.num_columns - 1).take(pa.array(some)).cast(pa.large_binary())
+                    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+                    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                    count = (c["p2"][some] - c["p1"][some] + 1).astype(np.int64)
+                    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    at = np.repeat(offsets[:-1] - offsets[0], count) + within
+                    key, check = (span_hash(prefix_hash(data, i), at, at + length, i) for i in (0, 1))
+                    levels.add(key, check)
+                    number = np.repeat(np.arange(spans, spans + len(count)), count)
+                    spans += len(count)
+                    rows.append((np.repeat(c["uid"][some], count), np.repeat(c["p1"][some], count) + within, number, np.repeat(c["want"][some], count), np.zeros(len(at), bool)))
         if rows:
             uid, p, number, want, known = map(np.concatenate, zip(*rows))
             hit = (levels.result()[0] | known) & want
