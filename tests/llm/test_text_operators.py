@@ -185,6 +185,7 @@ def test_simhash_against_brute_force(spark, odd, none):
     kept = simhash.keep_one(docs)
     assert {r.doc_id for r in kept.collect()} == set(roots) and kept.columns == docs.columns
     assert simhash.near_duplicates(odd).count() == len(ODD) + 3 and simhash.near_duplicates(none).count() == 0
+    assert "no id" in {r.text for r in simhash.keep_one(odd).collect()}
     assert simhash.fingerprint("") == 0 and simhash.fingerprint("A b") == simhash.fingerprint("a b")
 
 

@@ -8,8 +8,7 @@ the join, and a pair counts only in the first partition that finds it. Component
 rounds. No copies are expanded into pairs.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0, linked like any other; repeated rows count as documents
-of their own; a group's representative is its smallest doc_id, and of rows with equal ids one stays; an empty table gives an empty
-result.
+of their own; a group's representative is its smallest doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -178,8 +177,9 @@ def near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, once for each id, with all columns. Texts aren't shuffled where
-    the kept ids fit a broadcast, which Spark decides by their size."""
+    """The rows of docs whose doc_id is their component's smallest, with all columns; rows with one id stay or go together, and those
+    without an id stay if some component has no other. Texts aren't shuffled where the kept ids fit a broadcast, which Spark decides
+    by their size."""
     groups = near_duplicates(docs, distance)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
