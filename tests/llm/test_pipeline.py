@@ -59,5 +59,13 @@ def test_stages_against_plain_python(spark):
 
 
 def test_run(spark):
+    import os
+
+    from treelake.llm import common
+
     out = corpus_pipeline.run(spark, SF).collect()
+    mine = [common.local_path(p) for p in common.SCRATCH]
+    assert any(os.path.isdir(p) for p in mine)
+    common.clear_scratch(spark)
+    assert not any(os.path.isdir(p) for p in mine)
     assert out and len(corpus_pipeline.STAGES) == 5 and public_tokenizers.path("byte_bpe_50k.json")

@@ -49,8 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this driver wrote to the shared folder. Results that aren't written elsewhere yet can't be read afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
