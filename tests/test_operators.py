@@ -133,6 +133,22 @@ def test_orders_and_references(spark):
     assert rows(graph.default_branch(r)) == [("refs/heads/x",)]
 
 
+def test_pointers_and_settings(spark):
+    from treelake.functions.config import Config
+    from treelake.operators import settings
+
+    oid = "sha256:" + "a" * 64
+    head = o.LFS_VERSION.decode()
+    texts = [head + f"oid {oid}\nsize 5\n", head + f"oid {oid}\nsize 5", head + f"ext-1-b x\next-0-a y\noid {oid}\nsize 5\n", head + f"ext-0-a x\next-1-b y\noid {oid}\nsize +7\n", head + f"oid {oid}\nsize 5\n\n", "x"]
+    got = rows(spark.createDataFrame([*enumerate(texts)], "k int, t string").select("k", x.lfs_pointer(F.col("t")).alias("p")).orderBy("k"))
+    for (k, p), t in zip(got, texts):
+        want = o.lfs_pointer(t.encode())
+        assert (p and (p.oid, p.size)) == (want and (want.oid, want.size)), k
+    e = settings.entries(spark, Config.parse('[a]\nk = 1\n[A]\nK = 2\n[a "s"]\nk = 3\n'))
+    assert rows(settings.get_all(e, "A", "k")) == [("1",), ("2",)] and rows(settings.get_all(e, "a", "k", "s")) == [("3",)]
+    assert sorted(rows(settings.first_values(e)), key=repr) == [("a", "s", "k", "3"), ("a", None, "k", "1")]
+
+
 def test_blame(spark):
     assert [v for _, _, v in blame.attribute([(1, "L1\nL2\nL3\n"), (2, "L1\nL2\nL3\nL4\n"), (3, "L1\nX2\nL3\nL4\n")])] == [1, 3, 1, 2]
     h = spark.createDataFrame([("f", 1, "a\n"), ("f", 2, "a\nb\n"), ("g", 1, ""), ("f", 3, "a\nb\n")], "file string, version long, text string")

@@ -123,3 +123,15 @@ def canonical_mode(mode: Column) -> Column:
 def packet(payload: Column) -> Column:
     """A packet line around a binary payload."""
     return F.concat(F.encode(F.lower(F.lpad(F.hex(F.octet_length(payload) + 4), 4, "0")), "UTF-8"), payload)
+
+
+_POINTER = r"^version https://git-lfs\.github\.com/spec/v1\n((?:ext-\+?[0-9]+-[a-z0-9][a-z0-9-]* [^ \n]+\n)*)oid (sha256:[0-9a-f]{64})\nsize (\+?[0-9]+)\n\z"
+
+
+def lfs_pointer(text: Column) -> Column:
+    """oid and size of a large-file pointer, null for other texts. Keys must be sorted and distinct, so extensions come before oid."""
+    e = "(?d)" + _POINTER
+    extra = F.filter(F.split(F.regexp_extract(text, e, 1), "\n"), lambda x: x != "")
+    keys = F.transform(extra, lambda x: F.substring_index(x, " ", 1))
+    ordered = (F.array_sort(keys) == keys) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    return F.when((F.octet_length(text) <= 1024) & text.rlike(e) & ordered, F.struct(F.regexp_extract(text, e, 2).alias("oid"), F.regexp_extract(text, e, 3).cast("long").alias("size")))

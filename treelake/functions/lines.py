@@ -15,7 +15,6 @@ def lines(text: str | bytes) -> list:
 def matched_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Places of equal lines on a shortest edit path. Of two ways to a diagonal the one further along a is taken, on a tie the deletion."""
     n, m = len(a), len(b)
-    head = 0
     if n == m and list(a) == list(b):
         return [(k, k) for k in range(n)]
     if not n or not m:
@@ -41,7 +40,7 @@ def matched_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         down = k == -d or (k != d and before.get(k - 1, 0) < before.get(k + 1, 0))
         x = before.get(k + 1, 0) if down else before.get(k - 1, 0)
         y = x - k - 1 if down else x - k + 1
-    out += [(i, i) for i in range(x - 1, head - 1, -1)]
+    out += [(i, i) for i in range(x - 1, -1, -1)]
     out.reverse()
     return out
 

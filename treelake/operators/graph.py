@@ -21,27 +21,36 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
-    """id of all nodes that seeds (id) reach over edges (src, dst), seeds included, each once. A round for each step of distance."""
-    seen = frontier = shared_table(seeds.select("id").distinct())
+HOPS = 4  # steps in one round, before it is compared with what is known
+
+
+def _expand(edges: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of what the frontier reaches in 1 to HOPS steps, each once."""
+    level, out = frontier, None
+    for _ in range(HOPS):
+        level = edges.join(level, F.col("src") == F.col("id")).select(*[F.col("dst").alias("id") if k == "id" else k for k in keys]).distinct()
+        out = level if out is None else out.unionByName(level)
+    return out.distinct()
+
+
+def _closure(edges: DataFrame, seeds: DataFrame, keys: list[str], most: int) -> DataFrame:
+    seen = frontier = shared_table(seeds.select(*keys).distinct())
     for _ in range(most):
-        new = edges.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = shared_table(new)
+        frontier = shared_table(_expand(edges, frontier, keys).join(seen, keys, "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
     raise ValueError("more rounds than allowed")
 
 
-def labelled_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
+    """id of all nodes that seeds (id) reach over edges (src, dst), seeds included, each once. A round for every HOPS steps of distance."""
+    return _closure(edges, seeds, ["id"], most)
+
+
+def labelled_reach(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
     """seed, id: the same for several seeds (seed, id) at once."""
-    seen = frontier = shared_table(seeds.select("seed", "id").distinct())
-    while True:
-        new = edges.join(frontier, F.col("src") == F.col("id")).select("seed", F.col("dst").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
-        frontier = shared_table(new)
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    return _closure(edges, seeds, ["seed", "id"], most)
 
 
 def object_edges(commits: DataFrame, tree_entries: DataFrame, tags: DataFrame | None = None) -> DataFrame:

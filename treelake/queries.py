@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treelake.functions import expressions as x
 from treelake.functions.objects import EMPTY_TREE
-from treelake.operators import blame, diff, graph, grep, paths, reports, workspace
+from treelake.operators import blame, diff, graph, grep, paths, reports, settings, workspace
 from treelake.plans import virtual as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,25 @@ def packet_lines(spark, d):
     return v.table(spark, d, "conversations").select("conv_id", "turn", F.decode(F.substring(p, 1, 4), "UTF-8").alias("head"))
 
 
+_POINTER = "CASE WHEN doc_id % 3 = 0 THEN 'version https://git-lfs.github.com/spec/v1' || chr(10) || 'oid sha256:' || CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE upper(sha256(text)) END || chr(10) || 'size ' || n_chars || chr(10) ELSE text END"
+
+
+@query(f"WITH p AS (SELECT doc_id, {_POINTER} AS t FROM documents) SELECT doc_id, regexp_extract(t, 'oid (sha256:[0-9a-f]{{64}})\n', 1) AS oid, regexp_extract(t, 'size ([0-9]+)', 1)::BIGINT AS size FROM p WHERE starts_with(t, 'version https://git-lfs.github.com/spec/v1') AND regexp_matches(t, 'oid sha256:[0-9a-f]{{64}}\nsize [0-9]+\n$')")
+def lfs_detect(spark, d):
+    oid = F.sha2(F.encode("text", "UTF-8"), 256)
+    oid = F.when(F.col("doc_id") % 2 == 0, oid).otherwise(F.upper(oid))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("version https://git-lfs.github.com/spec/v1\noid sha256:"), oid, F.lit("\nsize "), F.col("n_chars").cast("string"), F.lit("\n"))).otherwise(F.col("text"))
+    found = v.table(spark, d, "documents").select("doc_id", x.lfs_pointer(t).alias("p")).where("p is not null")
+    return found.select("doc_id", "p.oid", "p.size")
+
+
+@query("SELECT lower(r_name) AS section, NULL::VARCHAR AS subsection, 'nation' AS key, arg_min(n_name, n_nationkey) AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY lower(r_name)")
+def config_get(spark, d):
+    n = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    e = n.select(F.col("r_name").alias("section"), F.lit(None).cast("string").alias("subsection"), F.col("n_regionkey").alias("sec_pos"), F.lit("Nation").alias("key"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("pos"))
+    return settings.first_values(e)
+
+
 # Changes
 
 
