@@ -305,6 +305,12 @@ def test_skip_chain_agrees_across_a_document(spark):
     assert np.allclose(p[0], p[2], atol=0.2) and np.allclose(p.sum(axis=1), 1)
 
 
+def test_repeats_are_linked_over_plain_words():
+    assert pii.Graph("call 555-3824 or later dial 555-3824").skip == [(0, 1)]
+    g = pii.Graph("a1 a1 then a1 and b2 and a1")
+    assert g.near == [(0, 1)] and g.skip == [(1, 2), (2, 4)]  # white space alone makes a near link; a group of 4 has 3 links
+
+
 def test_mpeg_audio(odd, none):
     rng = random.Random(8)
     for n in (0, 1, 63, 64, 65, 1416, 1417, 1418, 5000, 200_000):

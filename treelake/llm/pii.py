@@ -115,10 +115,11 @@ class Graph:
             names.append("w" + (before[-1].lower()[:12] if before and before[-1].isalpha() and len(before[-1]) < 12 else ""))
             self.x.append(_places(names))
             token = m.group()
-            for key in {"t" + "".join(filter(str.isalnum, token)).lower(), "d" + d if len(d := _digits(token)) >= 7 else ""} - {"", "t"}:
-                if key in last and last[key] != k - 1:
-                    self.skip.append((last[key], k))
-                last[key] = k
+            keys = {"t" + "".join(filter(str.isalnum, token)).lower(), "d" + d if len(d := _digits(token)) >= 7 else ""} - {"", "t"}
+            for at in sorted({last[key] for key in keys if key in last}):  # a pair that is alike in both ways has one link
+                if at != k - 1 or self.near[-1:] != [(at, k)]:
+                    self.skip.append((at, k))
+            last.update(dict.fromkeys(keys, k))
 
     def labels(self, spans: list[Span]) -> list[int]:
         """The pattern's kind that covers at least half of each token."""
