@@ -311,6 +311,17 @@ def test_repeats_are_linked_over_plain_words():
     assert g.near == [(0, 1)] and g.skip == [(1, 2), (2, 4)]  # white space alone makes a near link; a group of 4 has 3 links
 
 
+def test_sample_of_personal_data_is_drawn_from_all_rows(spark):
+    rows = [(k, f"item {k} of 400") for k in range(400)] + [(k, f"call +1 (743) 555-{k} now") for k in range(1000, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    model = pii.fit(docs, 60)
+    for same in (docs.orderBy("doc_id", ascending=False), docs.unionByName(docs).repartition(3)):
+        assert np.array_equal(pii.fit(same, 60).w, model.w)
+    t = "call +1 (743) 555-3824 now"
+    assert (model.marginals(pii.Graph(t), [0, 0, 0]).argmax(axis=1) == 4).all()
+    assert pii.shares({0: 50, 1: 9}, 60) == {0: 50, 1: 9} and pii.shares({0: 9000, 1: 2, 8: 1000}, 100) == {0: 70, 1: 2, 8: 28}
+
+
 def test_mpeg_audio(odd, none):
     rng = random.Random(8)
     for n in (0, 1, 63, 64, 65, 1416, 1417, 1418, 5000, 200_000):

@@ -6,7 +6,9 @@ seven digits or more): each with the one before it of its kind, so that a group
 labels consistent across a document. Tokens that are surely of a kind (marginal of at least `sure`) and touch no pattern's span become
 spans; neighbouring ones are joined.
 
-The field learns from the patterns' own labels on a bounded sample (at most `sample` documents with digits), by pseudo-likelihood.
+The field learns from the patterns' own labels on a bounded sample (at most `sample` documents with digits or @), by pseudo-likelihood.
+The sample is the first by hash of id and text, half of it shared evenly by the sets of kinds that a text's patterns find and the rest
+in proportion, so it is drawn from all rows and depends neither on their order nor on their partitions; repeated rows count once.
 Defined cases: null and empty texts have no spans; places count code points, ends are exclusive; repeated rows have equal spans; an
 empty table gives an empty result; with no sample nothing is added; other columns are kept by redact and ignored by digests.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import map_batches, rows_batch, texts
+from treelake.llm.common import cut, map_batches, rows_batch, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -213,6 +215,20 @@ class SkipChainCrf:
         return out
 
 
+def shares(sizes: dict[int, int], sample: int) -> dict[int, int]:
+    """How many to take of each stratum, at most `sample` in all: half shared evenly, the rest in proportion to what is left."""
+    if sum(sizes.values()) <= sample:
+        return dict(sizes)
+    got: dict[int, int] = {}
+    for k in sorted(sizes, key=lambda k: (sizes[k], k)):
+        got[k] = min(sizes[k], (sample // 2 - sum(got.values())) // (len(sizes) - len(got)))
+    rest, left = sample - sum(got.values()), {k: n - got[k] for k, n in sizes.items()}
+    for k in sorted(sizes, key=lambda k: (left[k], k)):
+        more = rest * left[k] // max(sum(left.values()), 1)
+        got[k], rest, left[k] = got[k] + more, rest - more, 0
+    return got
+
+
 def fit(docs: DataFrame, sample: int = 3000) -> SkipChainCrf | None:
     """Trained in one task on a bounded sample; None without one."""
     import pickle
@@ -227,7 +243,18 @@ def fit(docs: DataFrame, sample: int = 3000) -> SkipChainCrf | None:
             crf.train(data)
             yield rows_batch(pa.schema([("model", pa.binary())]), [[zlib.compress(pickle.dumps(crf))]])
 
-    some = texts(docs).where(F.col("text").rlike("[0-9@]")).limit(sample)
+    schema = pa.schema([("key", pa.int64()), ("kinds", pa.int32())])
+
+    def kinds(b: pa.RecordBatch) -> pa.RecordBatch:
+        return rows_batch(schema, [b.column(0), [sum(1 << k for k in {k for k, _, _ in base_spans(t.as_py())}) for t in b.column(1)]])
+
+    some = texts(docs).where(F.col("text").rlike("[0-9@]")).withColumn("key", F.xxhash64("doc_id", "text"))
+    strata = cut(map_batches(some.select("key", "text"), kinds, "key long, kinds int").distinct(), "pii-strata")
+    sizes = {r.kinds: r["count"] for r in strata.groupBy("kinds").count().collect()}
+    ids = strata.where("false")
+    for k, n in sorted(shares(sizes, sample).items()):
+        ids = ids.unionByName(strata.where(F.col("kinds") == k).orderBy("key").limit(n))
+    some = some.join(F.broadcast(ids.select("key")), "key").select("doc_id", "text").distinct()  # at most `sample` keys
     got = some.repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(zlib.decompress(bytes(got[0].model))) if got else None
 
