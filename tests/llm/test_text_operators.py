@@ -154,6 +154,16 @@ def test_risk_controlled_cutoffs(spark):
     assert quality_rules.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).of("en")[0] == float("inf")
 
 
+def test_small_strata_have_joint_cutoffs(spark):
+    langs = {"de": 437, "es": 436, "fr": 1000, "en": 1642}
+    rows = [(10_000 * i + k, lang, 100, 500, 60 if lang == "fr" and k < 9 else 0, 0, 0, 5) for i, (lang, n) in enumerate(langs.items()) for k in range(n)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    found = quality_rules.fit(stats, stats.selectExpr("doc_id", "1 AS quality"))
+    assert found.of("de") == found.of("en") == (0.2, 0.3, 0.08) and found.of("es") == (float("inf"),) * 3
+    assert found.of("fr")[0] == 0.75  # nine of a thousand have 0.6 symbols a word, too many for an upper bound of a hundredth
+    assert all(x >= y for a, b in zip(quality_rules.JOINT, quality_rules.JOINT[1:]) for x, y in zip(a, b))
+
+
 def _linked(fps):
     near, root = Counter(), list(range(len(fps)))
 

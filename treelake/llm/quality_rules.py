@@ -4,7 +4,11 @@ Counts of words, symbols, repeated lines and repeated 5-word windows give three
 are tried from the most lenient on: the rate's false rejections among labelled good documents that pass the base rule are counted,
 and a cutoff holds if an exact binomial test rejects that more than `risk / number of rates` of the good documents would go. The
 first cutoff that fails ends the sequence (fixed-sequence testing), and the level is divided by the number of sequences (Bonferroni),
-so with probability 1 - `level` no stratum loses more than `risk` of its good documents. A stratum with too few labels has no cutoff.
+so with probability 1 - `level` no stratum loses more than `risk` of its good documents.
+
+A stratum with too few labels for that, even if none of them were rejected, isn't tested by rate but by one fixed sequence of joint
+cutoffs at the full risk and a stratum's whole level. Which of both depends on the number of labels alone, so the promise holds. With
+four strata and the default risk and level, tests by rate need 1,642 good labels and the joint one 437; with fewer there is no cutoff.
 
 Defined cases: null or empty texts have no words and fail the base rule; a null language is a stratum of its own; a document labelled
 both good and bad counts as not good; without labels only the base rule rejects; repeated rows are judged each for itself; an empty
@@ -14,8 +18,10 @@ table gives an empty result. Filtering keeps all columns of its input, whatever
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,20 @@ CUTOFFS = {
 }
 
 
+def _joint() -> list[tuple[float, ...]]:
+    """The sequence of joint cutoffs: symbols and repeated lines at an even pace, then repeated words, which the base rule bounds already."""
+    symbols, lines, words = CUTOFFS.values()
+    steps = sorted([(k / len(g), rule, x) for rule, g in enumerate((symbols, lines)) for k, x in enumerate(g, 1)]) + [(1, 2, x) for x in words]
+    now, out = [math.inf] * len(CUTOFFS), []
+    for _, rule, x in steps:
+        now[rule] = x
+        out.append(tuple(now))
+    return out
+
+
+JOINT = _joint()
+
+
 def repeat_words(words: list[bytes], span: int = 5) -> int:
     """Words in windows of `span` words that are found twice or more."""
     n = len(words) - span + 1
@@ -128,24 +148,32 @@ BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> Limits:
     """Cutoffs from all labelled good documents that pass the base rule. What comes to the driver is a count for each language,
-    rate and number of cutoffs exceeded."""
+    rate (or joint sequence) and number of cutoffs exceeded."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
     each = stats.where(f"not ({BASE})").join(good, "doc_id", "left_semi")
     above = [sum((r > x).cast("int") for x in grid) for r, grid in zip(_rates(), CUTOFFS.values())]
-    rows = each.select(F.coalesce("lang", F.lit("")).alias("lang"), F.posexplode(F.array(*above)).alias("rule", "above")).groupBy("lang", "rule", "above").count().collect()
+    joint = sum(reduce(or_, [r > x for r, x in zip(_rates(), step) if x < math.inf]).cast("int") for step in JOINT)
+    rows = each.select(F.coalesce("lang", F.lit("")).alias("lang"), F.posexplode(F.array(*above, joint)).alias("rule", "above")).groupBy("lang", "rule", "above").count().collect()
     found: dict[str, tuple[float, ...]] = {}
     langs = {r.lang for r in rows}
+
+    def held(lang: str, rule: int, steps: Sequence, risk: float, level: float):
+        """The last step before the first that fails, or None."""
+        by, last = {r.above: r["count"] for r in rows if r.lang == lang and r.rule == rule}, None
+        for k, step in enumerate(steps):  # what is above step k is above all that are more aggressive
+            if too_risky(sum(m for above, m in by.items() if above >= len(steps) - k), sum(by.values()), risk, level):
+                break
+            last = step
+        return last
+
     for lang in langs:
-        limits = []
-        for rule, grid in enumerate(CUTOFFS.values()):
-            by = {r.above: r["count"] for r in rows if r.lang == lang and r.rule == rule}
-            n, limit = sum(by.values()), math.inf
-            for k, x in enumerate(grid):  # a rate above cutoff k is above all that are more aggressive
-                if too_risky(sum(m for above, m in by.items() if above >= len(grid) - k), n, risk / len(CUTOFFS), level / (len(langs) * len(CUTOFFS))):
-                    break
-                limit = x
-            limits.append(limit)
-        found[lang] = tuple(limits)
+        n = sum(r["count"] for r in rows if r.lang == lang and r.rule == 0)
+        by_rate = risk / len(CUTOFFS), level / (len(langs) * len(CUTOFFS))
+        if too_risky(0, n, *by_rate):
+            found[lang] = held(lang, len(CUTOFFS), JOINT, risk, level / len(langs)) or (math.inf,) * len(CUTOFFS)
+        else:
+            limits = [held(lang, rule, grid, *by_rate) for rule, grid in enumerate(CUTOFFS.values())]
+            found[lang] = tuple(math.inf if x is None else x for x in limits)
     return Limits(found)
 
 
