@@ -234,8 +234,7 @@ def _removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+def _repeat_rows():
     rng = random.Random(5)
     texts = []
     for _ in range(60):
@@ -247,20 +246,86 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
                 t = t[:at] + s[k : k + rng.randrange(20, 120)] + t[at:]
         texts.append(t)
     texts += ["a" * 500, "ab" * 300, texts[3], ""]
-    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (1, "same id, another text " * 5)], "doc_id long, text string").repartition(3)
-    real = suffix_dedup.repeats
-    monkeypatch.setattr(suffix_dedup, "repeats", lambda k, n: real(k, n, hot))
-    every = [t.encode() for t in [*texts, texts[3], "same id, another text " * 5]]
-    gone = _removed(every, 40)
-    want = sorted((k if k < len(texts) else (3, 1)[k - len(texts)], len(t), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for k, (t, g) in enumerate(zip(every, gone)))
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, 40).collect())
-    assert got == want and sum(w[2] for w in want) > 1000
+    return [*enumerate(texts), (3, texts[3]), (1, "same id, another text " * 5), (None, texts[7]), (5000, None)]
+
+
+def _digest_rows(rows, length, short):
+    every = [(t or "").encode() for _, t in rows]
+    long_, less = _removed(every, length), _removed(every, short)
+    out = [(k, len(t), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest(), int(h.sum()), bool(h.any())) for (k, _), t, g, h in zip(rows, every, long_, less)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [5000, 1])
+@pytest.mark.parametrize("short", [20, 40])
+def test_suffix_dedup_against_brute_force(spark, hot, short):
+    rows = _repeat_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _digest_rows(rows, 40, short)
+    assert sorted(map(tuple, suffix_dedup.digests(docs, 40, short, hot).collect()), key=str) == want and sum(w[2] for w in want) > 1000
+
+
+def _passages():
+    """Texts of invented words with passages of 300 to 900 bytes in common, near copies, copies, and one of 100,000 characters."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeéorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [prose(n) for n in (50, 70, 90, 150)]
+    texts = [" ".join([prose(rng.randrange(5, 200)), rng.choice(shared), prose(rng.randrange(5, 100))]) if k % 3 else prose(150) for k in range(60)]
+    texts += [texts[0]] * 5 + [texts[k][:300] + "X" + texts[k][301:] for k in range(6)] + [prose(20_000)] + [prose(30) + " line\n"] * 3
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_suffix_dedup_at_its_own_lengths(spark, hot):
+    rows = _passages()
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    assert sorted(map(tuple, got), key=str) == _digest_rows(rows, 400, 200)
+
+
+def test_suffix_index_takes_batches(spark, tmp_path):
+    rows = _passages()
+    for k in range(3):
+        index = suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index", buckets=3)
+        index.add(spark.createDataFrame(rows[k::3], "doc_id long, text string"))
+        assert sorted(map(tuple, index.digests().collect()), key=str) == _digest_rows([r for i in range(k + 1) for r in rows[i::3]], 400, 200)
+    index.add(spark.createDataFrame([], "doc_id long, text string"))
+    again = suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index")
+    assert again.batches == 4 and again.digests().count() == len(rows)
+    sizes = [n.bit_length() for _, n in again.levels]
+    assert sizes == sorted(set(sizes), reverse=True)
+
+
+def test_removed_repeats_keep_clashing_columns(spark):
+    rows = [(k, t, f"{k}u", k, [k], k) for k, t in _passages()[:70]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _uid string, _tag long, spans array<long>, _spans long")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, 200).collect()}
+    gone = _removed([t.encode() for _, t in _passages()[:70]], 200)
+    for (k, t, u, g, s, z), x in zip(rows, gone):
+        assert tuple(got[k]) == (k, np.frombuffer(t.encode(), np.uint8)[~x].tobytes().decode("utf-8", "ignore"), u, g, s, z)
+    assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0
+
+
+def test_suffix_arrays_against_pairs():
+    rng = random.Random(2)
+    contexts = [("".join(rng.choice("ab") for _ in range(8)).encode(), b"K" + "".join(rng.choice("ab") for _ in range(rng.randrange(3, 9))).encode()) for _ in range(120)]
+    arrays = suffix_dedup.SuffixArrays()
+    for k in range(0, 120, 7):
+        arrays.add([(r, le[::-1], k + i) for i, (le, r) in enumerate(contexts[k : k + 7])])
+        sizes = [len(x).bit_length() for x in arrays.levels]
+        assert sizes == sorted(set(sizes), reverse=True) and all(x == sorted(x) for x in arrays.levels)
+    got = suffix_dedup.repeated_starts(arrays, np.zeros(120, int), np.full(120, 4), (6, 8))
+    for length, (number, before) in zip((6, 8), got):
+        strings = {(k, o): (le + r)[8 - o : 8 - o + length] for k, (le, r) in enumerate(contexts) for o in range(5) if len(r) >= length - o}
+        counts = Counter((o, s) for (_, o), s in strings.items())
+        assert {*zip(number.tolist(), before.tolist())} == {(k, o) for (k, o), s in strings.items() if counts[o, s] > 1}
 
 
 def test_suffix_dedup_edges(odd, none):
     assert suffix_dedup.digests(odd).count() == len(ODD) + 3 and suffix_dedup.digests(none).count() == 0
     out = suffix_dedup.remove_repeats(odd)
     assert out.columns == odd.columns and {r.text for r in out.where("doc_id = 100").collect()} == {None}
+    assert sorted(map(str, out.select("doc_id", "_uid").collect())) == sorted(map(str, odd.select("doc_id", "_uid").collect()))
     levels = suffix_dedup.Levels()
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 50, 7).astype(np.uint64) for _ in range(20)]

@@ -31,6 +31,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, "_" + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
