@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -358,6 +359,70 @@ def test_personal_data(odd, none):
     assert pii.digests(odd, model).count() == len(ODD) + 3 and pii.digests(none, None).count() == 0 and pii.fit(none) is None
     out = pii.redact(odd, model)
     assert out.columns == odd.columns and out.count() == len(ODD) + 3
+    assert pii.redact(none, model).count() == 0
+
+
+def test_personal_data_of_long_texts():
+    began = time.perf_counter()
+    for t in ("1.1.1." + "0" * 5000, "8" * 10_000_000, "a" * 10_000_000 + "1", "1." * 500_000, "a@" * 300_000, "+1(" * 300_000, "12 " * 50_000):
+        base, every = pii.all_spans(t, pii.SkipChainCrf())
+        assert every == sorted(base)
+    assert pii.written(pii.base_spans("1.1.1." + "0" * 5000)) == "ip:0:5006"
+    assert time.perf_counter() - began < 60
+
+
+def test_personal_data_query_against_plain_rules(spark):
+    from treelake.llm import queries
+
+    rows = queries.op6_pii(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = _base(texts[r.doc_id])
+        kinds = Counter(x.split(":")[0] for x in base.split(",") if x)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in BASE) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert {x for x in base.split(",") if x} <= {*spans} and r.n_spans == len(spans) and r.n_added == len(spans) - sum(kinds.values())
+        assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
+
+
+def test_the_field_finds_secrets_without_their_assignment(spark):
+    rng = random.Random(3)
+    secret = lambda: f"{rng.getrandbits(160):040x}"
+    texts = [f"{rng.choice(['la', 'ble'])} token = \"{secret()}\" and {rng.randrange(10**9)} items" for _ in range(400)] + [f"plain {rng.randrange(10**6)} words, {k} of them" for k in range(400)]
+    crf = pii.fit(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    s, other = secret(), secret()
+    t = f"here token = \"{s}\" and later {s} again, 12 times"
+    assert pii.written(pii.all_spans(t, crf)[1]).count("secret:") == 2 and pii.base_spans(t) == []
+    assert pii.redacted(t, pii.all_spans(t, crf)[1]).count("<secret>") == 2
+    assert pii.all_spans("plain 12345 words, 7 of them", crf)[1] == [] and other
+
+
+def test_loopy_marginals_against_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    crf = pii.SkipChainCrf()
+    crf.near, crf.skip = rng.normal(size=(2, pii.LABELS, pii.LABELS)) * 0.5
+    for text, exact in (("a1 b2 c3", True), ("x1 and y2 or x1", True), ("q7 w8 and q7 w8", False), ("a1 b2 a1 b2", False)):
+        g = pii.Graph(text)
+        scores = rng.normal(size=(len(g.x), pii.LABELS)) * 0.5
+        crf.w[:] = 0
+        for k in range(len(g.x)):
+            g.x[k] = [k + 1]
+            crf.w[k + 1] = scores[k]
+        want, z = np.zeros_like(scores), 0.0
+        for y in product(range(pii.LABELS), repeat=len(g.x)):
+            e = np.exp(sum(scores[k, y[k]] for k in range(len(y))) + sum(crf.near[y[a], y[b]] for a, b in g.near) + sum(crf.skip[y[a], y[b]] for a, b in g.skip))
+            z += e
+            for k in range(len(y)):
+                want[k, y[k]] += e
+        assert (len(g.near) + len(g.skip) < len(g.x)) == exact, text
+        assert np.abs(crf.marginals(g, [0] * len(g.x)) - want / z).max() < (1e-3 if exact else 0.05), text
+    crf.near[:], crf.skip[:] = 0, 9 * np.eye(pii.LABELS)
+    g = pii.Graph("z9 or " * 300)  # evidence at one end reaches the other
+    crf.w[:] = 0
+    assert crf.marginals(g, [2] + [0] * 299)[-1].argmax() == 2
 
 
 def test_skip_chain_agrees_across_a_document(spark):
