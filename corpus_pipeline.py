@@ -16,6 +16,10 @@ from treelake.llm import packing, pii, quality_rules, simhash, suffix_dedup
 from treelake.llm.common import cut, read
 
 
+#: A passage of 50 short words is about as long.
+REPEAT_BYTES = 200
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows a changed text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -32,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeats of 400 bytes or more go; the documents stay."""
-    return _counted(suffix_dedup.remove_repeats(docs))
+    """Bytes of repeats of REPEAT_BYTES or more go; the documents stay."""
+    return _counted(suffix_dedup.remove_repeats(docs, REPEAT_BYTES))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
