@@ -92,6 +92,11 @@ def test_token_store(spark, odd, none, tmp_path):
     rows = token_store.read_back(spark, manifest).collect()
     ids = {k: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for k, x in enumerate(ODD)}
     order = [(None, "no id")] + sorted([*enumerate(ODD), (4, "a"), (100, "")])
+    hot = spark.createDataFrame([(7, "same")] * 900 + [(None, "none")] * 900, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_store.write(hot, BYTES, f"file://{tmp_path}/hot").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.docs for r in files) == 1800 and max(r.docs for r in files) < 900
     at = 0
     for (k, text), r in zip(order, sorted(rows, key=lambda r: r.start)):
         want = ids.get(k, np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4"))
@@ -148,23 +153,41 @@ def test_risk_control():
 
 
 def test_risk_controlled_cutoffs(spark):
-    rows = [(k, "en", 100, 500, 0 if k % 100 else 60, 0, 0, 5) for k in range(3000)] + [(9000 + k, "en", 100, 500, 400, 0, 0, 5) for k in range(50)]
-    stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    rows = [(k, "en", k, 100, 500, 0 if k % 100 else 60, 0, 0, 5) for k in range(3000)] + [(9000 + k, "en", 9000 + k, 100, 500, 400, 0, 0, 5) for k in range(50)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
     limits = quality_rules.fit(stats, spark.createDataFrame([(k, 1) for k in range(3000)], "doc_id long, quality int"), risk=0.02).of("en")
     assert limits[0] == 0.75  # one good document in a hundred has 0.6 symbols a word, which is over the risk
-    assert quality_rules.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).of("en")[0] == float("inf")
+    assert quality_rules.fit(stats, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).of("en") is None
 
 
 def test_small_strata_have_joint_cutoffs(spark):
     langs = {"de": 437, "es": 436, "fr": 1000, "en": 1642}
-    rows = [(10_000 * i + k, lang, 100, 500, 60 if lang == "fr" and k < 9 else 0, 0, 0, 5) for i, (lang, n) in enumerate(langs.items()) for k in range(n)]
-    stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    rows = [(10_000 * i + k, lang, 10_000 * i + k, 100, 500, 60 if lang == "fr" and k < 9 else 0, 0, 0, 5) for i, (lang, n) in enumerate(langs.items()) for k in range(n)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
     found = quality_rules.fit(stats, stats.selectExpr("doc_id", "1 AS quality"))
     assert found.of("de") == found.of("en") == (0.2, 0.3, 0.08) and found.of("es") == (float("inf"),) * 3
     assert found.of("fr")[0] == 0.75  # nine of a thousand have 0.6 symbols a word, too many for an upper bound of a hundredth
     assert all(x >= y for a, b in zip(quality_rules.JOINT, quality_rules.JOINT[1:]) for x, y in zip(a, b))
 
 
+def test_copies_and_null_strata_of_quality_rules(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    text = lambda k: " ".join(w + ("" if k % 50 or i > 13 else "#") for i, w in enumerate(words(20)))
+    texts = [text(k) for k in range(1000)]
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(1000 + k, texts[1], None) for k in range(3000)] + [(9000 + k, texts[k], "") for k in range(300)] + [(20_000 + k, "x " * k, f"rare{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    limits = quality_rules.fit(quality_rules.statistics(docs), labels)
+    # two in a hundred of the distinct texts have 0.7 symbols a word; with each copy counted it would be one in two hundred
+    assert limits.of(None)[0] == 0.75 and limits.of("rare3") is None and limits.of(None) != limits.of("")
+    v = {r.doc_id: r.kept for r in quality_rules.verdicts(docs, labels).collect()}
+    kept = {r.doc_id for r in quality_rules.filter_documents(docs, labels).collect()}
+    assert len(v) == len(rows) and {k for k, x in v.items() if x} == kept and all(k in kept for k in range(1000))
+    odd = docs.limit(50).selectExpr("*", "1 AS _counts", "2 AS _limits", "3 AS _lang", "4 AS key")
+    assert quality_rules.filter_documents(odd, labels).columns == odd.columns and {tuple(r)[3:] for r in quality_rules.filter_documents(odd, labels).collect()} == {(1, 2, 3, 4)}
+
+
 def _linked(fps):
     near, root = Counter(), list(range(len(fps)))
 
@@ -197,6 +220,10 @@ def test_simhash_against_brute_force(spark, odd, none):
     assert {r.doc_id for r in kept.collect()} == set(roots) and kept.columns == docs.columns
     assert simhash.near_duplicates(odd).count() == len(ODD) + 3 and simhash.near_duplicates(none).count() == 0
     assert "no id" in {r.text for r in simhash.keep_one(odd).collect()}
+    assert simhash.keep_one(none).count() == 0
+    rows = [(1, "x y z w", 7, "s"), (1, "x y z w", 7, "s"), (2, "x y z w", 8, "t"), (3, "other words are here", 9, "u"), (None, "null id", 1, "v"), (None, "null id", 1, "v")]
+    same = spark.createDataFrame(rows, "doc_id long, text string, _stay long, fp string")
+    assert sorted(map(tuple, simhash.keep_one(same).collect()), key=str) == sorted({rows[0], rows[3], rows[4]}, key=str)
     assert simhash.fingerprint("") == 0 and simhash.fingerprint("A b") == simhash.fingerprint("a b")
 
 
@@ -210,14 +237,24 @@ def test_simhash_links_for_every_allocation(spark, monkeypatch):
     bits = np.zeros((0, 64))
     for parts in ([(list(range(64)), 3)][:0] or simhash.allocate(bits, 1000), [(list(range(32)), 1), (list(range(32, 64)), 1)], [(list(range(20)), 1), (list(range(20, 42)), 0), (list(range(42, 64)), 0)]):
         monkeypatch.setattr(simhash, "allocate", lambda *a, p=parts: p)
-        found = [(r.a, r.b) for r in simhash.links(d).collect()]
-        assert len(found) == len(set(found)) and set(found) == want
+        for hot in (2000, 0, 3):
+            found = [(r.a, r.b) for r in simhash.links(d, hot=hot).collect()]
+            assert len(found) == len(set(found)) and set(found) == want
     monkeypatch.undo()
     for n in (10, 10**6, 10**9):
         parts = simhash.allocate(bits, n)
         assert sum(t + 1 for _, t in parts) >= 4  # generalised pigeonhole: thresholds of m parts sum to 3 - m + 1
 
 
+def test_common_keys_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 3)
+    e = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(50, 51)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(e).collect()} == {(k, 0) for k in range(40)} | {(50, 50), (51, 50)}
+    docs = spark.createDataFrame([(k, "" if k % 3 else f"word {k}") for k in range(30)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_near, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {k: (19, 1) if k % 3 else (0, k) for k in range(30)}
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(e).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}

@@ -4,7 +4,8 @@ Counts of words, symbols, repeated lines and repeated 5-word windows give three
 are tried from the most lenient on: the rate's false rejections among labelled good documents that pass the base rule are counted,
 and a cutoff holds if an exact binomial test rejects that more than `risk / number of rates` of the good documents would go. The
 first cutoff that fails ends the sequence (fixed-sequence testing), and the level is divided by the number of sequences (Bonferroni),
-so with probability 1 - `level` no stratum loses more than `risk` of its good documents.
+so with probability 1 - `level` no stratum loses more than `risk` of its good documents. Copies aren't independent trials: of labelled
+documents with one text in a stratum only one is counted.
 
 A stratum with too few labels for that, even if none of them were rejected, isn't tested by rate but by one fixed sequence of joint
 cutoffs at the full risk and a stratum's whole level. Which of both depends on the number of labels alone, so the promise holds. With
@@ -12,7 +13,8 @@ four strata and the default risk and level, tests by rate need 1,642 good labels
 
 Defined cases: null or empty texts have no words and fail the base rule; a null language is a stratum of its own; a document labelled
 both good and bad counts as not good; without labels only the base rule rejects; repeated rows are judged each for itself; an empty
-table gives an empty result. Filtering keeps all columns of its input, whatever their names.
+table gives an empty result. Filtering keeps all columns of its input, whatever their names. Strata with so few labels that no cutoff
+could be held have none and don't share the level, so a dirty language column costs neither power nor memory of the driver.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from treelake.llm.common import cut, rows_batch
+from treelake.llm.common import cut, rows_batch, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -105,36 +109,61 @@ def kept(c: tuple[int, ...], limits: tuple[float, ...] | None) -> bool:
 
 
 def too_risky(errors: int, n: int, risk: float, level: float) -> bool:
-    """False if errors among n are so few that P(Binomial(n, risk) <= errors) <= level, that is, the exact upper bound is at most risk."""
-    if n == 0:
+    """False if errors among n are so few that P(Binomial(n, risk) <= errors) <= level, that is, the exact upper bound is at most risk.
+    Terms are summed from the largest down until they don't count any more, which are about as many as sqrt(n)."""
+    if n == 0 or errors >= n or level < 0.5 and errors >= n * risk:  # the median is at most the mean rounded up
         return True
-    total, log_q = 0.0, math.log1p(-risk)
-    for k in range(errors + 1):
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(risk) + (n - k) * log_q)
-        if total > level:
-            return True
-    return False
+    odds = (1 - risk) / risk
+    at = min(errors, int((n + 1) * risk))
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(at + 1) - math.lgamma(n - at + 1) + at * math.log(risk) + (n - at) * math.log1p(-risk))
+    total, down, k = term, term, at
+    while k and down > 1e-18 * total:
+        down *= k / (n - k + 1) * odds
+        total, k = total + down, k - 1
+    for k in range(at, errors):
+        term *= (n - k) / (k + 1) / odds
+        total += term
+    return total > level
 
 
 @dataclass(frozen=True)
 class Limits:
-    by_stratum: dict[str, tuple[float, ...]]
+    by_stratum: dict[str | None, tuple[float, ...]]
 
     def of(self, lang: str | None) -> tuple[float, ...] | None:
-        return self.by_stratum.get(lang or "")
+        return self.by_stratum.get(lang)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """_lang, _limits: a row for each stratum with a cutoff. There are at most as many as labels divided by what a cutoff needs."""
+        rows = [(lang, list(x)) for lang, x in self.by_stratum.items() if min(x) < math.inf]
+        return spark.createDataFrame(rows, "_lang string, _limits array<double>")
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and COUNTS; one row for each of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(c, pa.int64()) for c in COUNTS])
+
+COUNTED = "key long, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def counted(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of that name, which has a key of the text and COUNTS."""
+    text = docs.columns.index("text")
+    kind = pa.struct([pa.field(c.split()[0], pa.int64()) for c in COUNTED.split(", ")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            if b.num_rows:
-                yield rows_batch(schema, [b.column(0), b.column(1), *zip(*[counts(t.as_py()) for t in b.column(2)])])
+            rows = [(xxhash.xxh64_intdigest((t.as_py() or "").encode("utf-8")) - (1 << 63), *counts(t.as_py())) for t in b.column(text)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * kind.num_fields
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(columns, fields=list(kind))], schema=b.schema.append(pa.field(name, kind)))
 
-    df = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), "text")
-    return df.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, docs.sparkSession.createDataFrame([], COUNTED).schema)]))
+
+
+def _lang(docs: DataFrame):
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, a key of the text, and COUNTS; one row for each of docs."""
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), "text")
+    return counted(few, "_c").select("doc_id", "lang", "_c.*")
 
 
 def _rates() -> list:
@@ -147,17 +176,20 @@ BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> Limits:
-    """Cutoffs from all labelled good documents that pass the base rule. What comes to the driver is a count for each language,
-    rate (or joint sequence) and number of cutoffs exceeded."""
+    """Cutoffs from all labelled good documents that pass the base rule. What comes to the driver is a count for each stratum that could
+    have a cutoff, rate (or joint sequence) and number of cutoffs exceeded."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
-    each = stats.where(f"not ({BASE})").join(good, "doc_id", "left_semi")
+    each = cut(stats.where(f"not ({BASE})").join(good, "doc_id", "left_semi").drop("doc_id").distinct(), "labelled-statistics")
     above = [sum((r > x).cast("int") for x in grid) for r, grid in zip(_rates(), CUTOFFS.values())]
     joint = sum(reduce(or_, [r > x for r, x in zip(_rates(), step) if x < math.inf]).cast("int") for step in JOINT)
-    rows = each.select(F.coalesce("lang", F.lit("")).alias("lang"), F.posexplode(F.array(*above, joint)).alias("rule", "above")).groupBy("lang", "rule", "above").count().collect()
-    found: dict[str, tuple[float, ...]] = {}
+    least = math.ceil(math.log(level) / math.log1p(-risk))  # labels that one stratum alone would need
+    some = each.groupBy(F.col("lang").alias("_lang")).count().where(F.col("count") >= least).select("_lang")
+    each = each.join(some, F.col("lang").eqNullSafe(F.col("_lang")), "left_semi")
+    rows = each.select("lang", F.posexplode(F.array(*above, joint)).alias("rule", "above")).groupBy("lang", "rule", "above").count().collect()
+    found: dict[str | None, tuple[float, ...]] = {}
     langs = {r.lang for r in rows}
 
-    def held(lang: str, rule: int, steps: Sequence, risk: float, level: float):
+    def held(lang: str | None, rule: int, steps: Sequence, risk: float, level: float):
         """The last step before the first that fails, or None."""
         by, last = {r.above: r["count"] for r in rows if r.lang == lang and r.rule == rule}, None
         for k, step in enumerate(steps):  # what is above step k is above all that are more aggressive
@@ -177,30 +209,30 @@ def fit(stats: DataFrame, labels: DataFrame, risk: float = 0.01, level: float =
     return Limits(found)
 
 
+def _kept():
+    """Whether a row of COUNTS and _limits (null: none) is kept."""
+    fits = [F.coalesce(r <= F.col("_limits")[k], F.lit(True)) for k, r in enumerate(_rates())]
+    return ~F.expr(BASE) & fits[0] & fits[1] & fits[2]
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:
     """doc_id, counts, base_failed and kept of each document."""
     stats = cut(statistics(docs), "quality-statistics")
-    limits = fit(stats, labels, risk, level)
-    ok = F.lit(True)
-    for lang, xs in limits.by_stratum.items():
-        fits = F.lit(True)
-        for r, x in zip(_rates(), xs):
-            if x < math.inf:
-                fits = fits & (r <= x)
-        ok = F.when(F.coalesce("lang", F.lit("")) == lang, fits).otherwise(ok)
-    failed = F.expr(BASE)
-    return stats.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ok).alias("kept"), "n_lines")
+    limits = fit(stats, labels, risk, level).table(docs.sparkSession)
+    return stats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("doc_id", *COUNTS[:5], F.expr(BASE).alias("base_failed"), _kept().alias("kept"), "n_lines")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. A second pass counts again, so that no text is shuffled."""
-    limits = fit(statistics(docs), labels, risk, level)
-    names = docs.columns
-    text, lang = names.index("text"), names.index("lang") if "lang" in names else None
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            langs = b.column(lang).to_pylist() if lang is not None else [None] * b.num_rows
-            yield b.filter(pa.array([kept(counts(t.as_py()), limits.of(x)) for t, x in zip(b.column(text), langs)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs that are kept, with all their columns. Documents are counted once and written with their counts, so that no text
+    is shuffled."""
+    name = unused(docs, "counts")
+    rows = cut(counted(docs, name), "counted-documents")
+    limits = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), f"{name}.*"), labels, risk, level).table(docs.sparkSession)
+    limit = unused(docs, "limits")
+    one = limits.toDF(unused(docs, "stratum"), limit)
+    x = F.col(name)
+    rate = [x["n_symbols"] / F.greatest(x["n_words"], F.lit(1)), x["n_dup_lines"] / F.greatest(x["n_lines"], F.lit(1)), x["n_repeat_words"] / F.greatest(x["n_words"], F.lit(1))]
+    ok = (x["n_words"] >= 10) & (100 * x["n_repeat_words"] <= 20 * x["n_words"])
+    for k, r in enumerate(rate):
+        ok = ok & F.coalesce(r <= F.col(limit)[k], F.lit(True))
+    return rows.join(one, _lang(docs).eqNullSafe(F.col(one.columns[0])), "left").where(ok).select(*[F.col(f"`{c}`") for c in docs.columns])
