@@ -4,11 +4,14 @@ Fingerprints that differ in at most `distance` bits are linked. Rows are first r
 grouped into m partitions of correlated bits, and thresholds t_i >= -1 with sum distance - m + 1 are allocated: two fingerprints
 within `distance` agree on some partition up to t_i bits. A dynamic program chooses them, for each m, by estimated candidates and
 probes. Every fingerprint is indexed by its bits of each partition and probes with all values within t_i; candidates are verified in
-the join, and a pair counts only in the first partition that finds it. Components come from alternating large-star and small-star
-rounds. No copies are expanded into pairs.
+the join, and a pair counts only in the first partition that finds it. Where a value of a partition is shared by more than `hot`
+fingerprints, these are split once more by the other bits: fingerprints that differ in at most `distance` of them agree on one of
+distance + 1 parts. Components come from alternating large-star and small-star rounds. No copies are expanded into pairs. Keys with over
+a hundredth of all rows (a common text, the centre of a star), of which there are at most a hundred, are joined by broadcast.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0, linked like any other; repeated rows count as documents
-of their own; a group's representative is its smallest doc_id; an empty table gives an empty result.
+of their own in near_duplicates, and keep_one keeps one of rows with equal id and text; a group's representative is its smallest doc_id;
+an empty table gives an empty result; other columns, whatever their names, are kept by keep_one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import cut, map_batches, rows_batch, texts
+from treelake.llm.common import cut, map_batches, rows_batch, texts, unused
 
 BITS = 64
 
@@ -123,9 +126,15 @@ def _probe(own: Column, part: Column):
     return lambda flip: F.struct(part.alias("part"), own.bitwiseXOR(flip).alias("sig"))
 
 
-def links(distinct: DataFrame, distance: int = 3, sample: int = 5000) -> DataFrame:
+def _other_parts(g: list[int], distance: int) -> list[int]:
+    """Masks of distance + 1 parts of the bits that aren't in g."""
+    rest = [b for b in range(BITS) if b not in g]
+    return [_mask(rest[i :: distance + 1]) for i in range(distance + 1)]
+
+
+def links(distinct: DataFrame, distance: int = 3, sample: int = 5000, hot: int = 2000) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) that differ in at most `distance` bits, each once. The sample only decides
-    how candidates are found."""
+    how candidates are found, and hot how they are spread."""
     rows = distinct.where(F.xxhash64("fp") % 4 == 0).select("fp").limit(sample).collect()
     bits = np.unpackbits(np.array([r.fp for r in rows], "<i8").view(np.uint8), bitorder="little").reshape(-1, BITS)
     parts = allocate(bits, distinct.count(), distance)
@@ -141,19 +150,47 @@ def links(distinct: DataFrame, distance: int = 3, sample: int = 5000) -> DataFra
     first: Column = F.lit(len(parts))
     for i, (g, t) in reversed(list(enumerate(parts))):
         first = F.when(F.bit_count(at(differ, g)) <= t, i).otherwise(first)
-    return probe.join(index, ["part", "sig"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (first == F.col("part"))).select("a", "b")
+    good = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & (first == F.col("part"))
+    crowded = cut(index.groupBy("part", "sig").count().where(F.col("count") > hot).select("part", "sig"), "crowded")
+    keys = ["part", "sig"]
+    if crowded.isEmpty():
+        return probe.join(index, keys).where(good).select("a", "b")
+    plain = probe.join(crowded, keys, "left_anti").join(index.join(crowded, keys, "left_anti"), keys).where(good)
+    masks = F.array(*[F.array(*map(F.lit, _other_parts(g, distance))) for g, _ in parts])
+
+    def split(rows: DataFrame, col: str) -> DataFrame:
+        own = rows.join(crowded, keys, "left_semi").select(*keys, col, F.posexplode(F.get(masks, F.col("part"))).alias("sub", "mask"))
+        return own.select(*keys, "sub", F.col(col).bitwiseAND(F.col("mask")).alias("subsig"), col)
+
+    agree = F.transform(F.get(masks, F.col("part")), lambda m: differ.bitwiseAND(m) == 0)
+    fine = split(probe, "a").join(split(index, "b"), [*keys, "sub", "subsig"]).where(good & (F.array_position(agree, F.lit(True)) == F.col("sub") + 1))
+    return plain.select("a", "b").unionByName(fine.select("a", "b"))
+
+
+MANY = 1_000_000  # rows that one task may well have of one key
+
+
+def join_each(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined to right, which has each key once and in n its number of rows in left, of which there are `total`. Keys with more than
+    a hundredth of all rows are at most a hundred; their rows in right are broadcast, so that no task gets all rows of such a key."""
+    if total <= MANY:
+        return left.join(right, key).drop(n)
+    right = cut(right, "keys")
+    many = F.broadcast(right.where(F.col(n) > max(total // 100, MANY)))
+    return left.join(many.select(key), key, "left_anti").join(right, key).unionByName(left.join(many, key)).drop(n)
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the pairs (a, b) can reach; by large-star and small-star rounds."""
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
+    before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:
+        total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_each(both, least, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_each(large, least, "u", "n", total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         edges = cut(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -166,20 +203,26 @@ def near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint, n_near and component_id of every document."""
     prints = cut(fingerprints(df), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     pairs = cut(links(distinct, distance), "links")
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = sides.join(distinct.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     roots = components(pairs)
     least = roots.join(distinct.select(F.col("fp").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    known = distinct.join(near, "fp", "left").join(of, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    known = distinct.join(near, "fp", "left").join(of, "fp", "left").select("fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "rep").alias("component_id"))
+    return join_each(prints, known, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, with all columns; rows with one id stay or go together, and those
-    without an id stay if some component has no other. Texts aren't shuffled where the kept ids fit a broadcast, which Spark decides
-    by their size."""
+    """The rows of docs whose doc_id is their component's smallest, with all columns; those without an id stay if some component has no
+    other. Of rows with equal id and text one stays; rows with one id and other texts stay or go together. Texts aren't shuffled where
+    the kept ids fit a broadcast, which Spark decides by their size, except those of repeated ids."""
+    id_ = unused(docs, "stay")
     groups = near_duplicates(docs, distance)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("rows")), "stay")
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+    again = stay.where("rows > 1").select(id_)
+    if again.isEmpty():
+        return docs.join(stay.select(id_), mine, "left_semi")
+    return docs.join(stay.where("rows = 1").select(id_), mine, "left_semi").unionByName(docs.join(again, mine, "left_semi").dropDuplicates(["doc_id", "text"]))
