@@ -5,9 +5,9 @@ magic, u32 length of the header, header (JSON: id width, dictionary hash), compr
 u32 number of documents, magic. The index has the arrays i64 doc_id, u8 doc_id known, u64 offset, u32 bytes, u64 ids. The
 dictionary lies beside the files under its hash, and a reader refuses another.
 
-Defined cases: a null or empty text is its end id alone; null ids come first; rows with equal ids lie in the order of their texts;
-an empty table has no file; other columns are ignored. The dictionary is trained on at most `sample` documents (which only
-compression depends on); with too few to train on there is none.
+Defined cases: a null or empty text is its end id alone; null ids come first; rows with equal ids lie in an order by hash of their
+texts, over as many files as they fill; an empty table has no file; other columns are ignored. The dictionary is trained on at most
+`sample` documents of at most SHORT characters (which only compression depends on); with too few to train on there is none.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ MANIFEST = pa.schema([("file", pa.string()), ("docs", pa.int64()), ("tokens", pa
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+SHORT = 20_000
+
+
 def serialize(ids: bytes, width: int) -> bytes:
     """Ids of 32 bits as an array of 16 or 32."""
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
@@ -121,7 +124,7 @@ def write(df: DataFrame, tokenizer_file: str, folder: str, end_id: int = 2, samp
     os.makedirs(at, exist_ok=True)
     tok = load(tokenizer_file)
     width, end = 2 if max(tok.size, end_id + 1) <= 65536 else 4, end_id.to_bytes(4, "little")
-    some = [r.text for r in docs.where(F.xxhash64("doc_id") % 8 == 0).select("text").limit(sample).collect()]
+    some = [r.text for r in docs.where((F.xxhash64("doc_id") % 8 == 0) & (F.length("text") <= SHORT)).select("text").limit(sample).collect()]
     dictionary = train([serialize(ids + end, width) for ids in tok.encode(some)])
     name = hashlib.sha256(dictionary).hexdigest()
     if dictionary:
@@ -148,7 +151,9 @@ def write(df: DataFrame, tokenizer_file: str, folder: str, end_id: int = 2, samp
             yield rows_batch(MANIFEST, [[path], [n], [tokens], [part]])
 
     dictionary_size = len(dictionary)
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal rows of many partitions needn't meet in one
+    ordered = docs.withColumns({"_hash": F.xxhash64("text"), "_from": F.spark_partition_id()}).repartitionByRange("doc_id", "_hash", "_from")
+    ordered = ordered.sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     return cut(ordered.mapInArrow(run, "file string, docs long, tokens long, part long"), "token-manifest")
 
 
