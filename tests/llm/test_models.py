@@ -41,6 +41,11 @@ def test_held_out_rows_are_never_learned_from(spark, corpus):
     sample, sizes = labelled_sample(docs, labels, "toxic", 20)
     rows = sample.withColumn("h", held_out(sample.doc_id)).collect()
     assert rows and not any(r.h for r in rows) and sum(r.y for r in rows) <= 20 and sizes[0] > 200
+    many = docs.unionByName(spark.createDataFrame([(rows[0].doc_id, f"another text {k}", 0) for k in range(500)], docs.schema))
+    again = labels.unionByName(spark.createDataFrame([(k, 1, 1) for k in range(5000, 9000)], labels.schema))
+    sample, more = labelled_sample(many, again, "toxic", 20)  # ids without a document, and one with very many rows
+    assert {r.doc_id for r in sample.collect()} == {r.doc_id for r in rows} and sample.count() == len(rows) and more == sizes
+    assert {r.h for r in docs.where("doc_id is null").select(held_out(docs.doc_id).alias("h")).collect()} == {False}
 
 
 def test_toxicity(spark, corpus):
@@ -76,6 +81,15 @@ def test_quality(spark, corpus):
     assert quality_crf.scores(docs.where("false"), crf).count() == 0
 
 
+def test_other_scripts_are_letters():
+    good = "Сегодня хорошая погода, и мы идём гулять к реке.\nДети играют в саду."
+    x, _ = quality_crf.own_features(good)
+    y, _ = quality_crf.own_features("Today good weather, and we go walking to river.\nKids play in garden.")
+    assert x[:, 4].max() == 0 and np.abs(x[:, 2] - y[:, 2]).max() < 0.05 and x[:, 8].max() == 0
+    z, _ = quality_crf.own_features("ДА!! НЕТ!! ДА!!\n今天天气很好\n" + "😀 😀")
+    assert z[0, 4] == 2 and z[0, 2] == 1 and z[0, 8] > 0 and z[1, 4] == z[2, 4] == 0 and z[2, 13] == 1
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 

@@ -38,16 +38,17 @@ def test_stages_against_plain_python(spark):
     third = corpus_pipeline.long_repeats(spark, second, SF).cache()
     texts = {r.doc_id: r.text.encode() for r in second.collect()}
     seen: dict[bytes, int] = {}
+    n = corpus_pipeline.REPEAT_BYTES
     for t in texts.values():
-        for k in range(len(t) - 399):
-            seen[t[k : k + 400]] = seen.get(t[k : k + 400], 0) + 1
+        for k in range(len(t) - n + 1):
+            seen[t[k : k + n]] = seen.get(t[k : k + n], 0) + 1
     got = {r.doc_id: r for r in third.collect()}
     assert got.keys() == texts.keys() and third.columns == columns
     for k, t in texts.items():
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                gone[i : i + n] = True
         assert got[k].text == np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") and got[k].n_chars == len(got[k].text)
 
     fourth = corpus_pipeline.personal_data(spark, third, SF).cache()

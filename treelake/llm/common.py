@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,16 +45,18 @@ def rows_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model here learns labels from: crc32 of the id's decimal text is 2 modulo 4."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that no model here learns labels from: crc32 of the id's decimal text is 2 modulo 4. False for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine for local runs; an error
+    on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file:///tmp/treelake-shared"
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
@@ -91,12 +94,15 @@ def local_path(uri: str) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, text and y of at most per_class rows of each class, none of them held out, in an order by hash of the id; and the
-    number of labelled rows of each class. Ids with two labels, or none, aren't used."""
+    """doc_id, y and text of at most per_class documents of each class, none of them held out, the first by hash of the id; and the number
+    of labelled documents of each class. Ids with two labels, none, or no document aren't used; of rows with one id only the smallest
+    text is, so per_class bounds rows, too."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("_top"))
     known = known.where((F.col("y") == F.col("_top")) & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("y").cast("int").alias("y"))
+    known = cut(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "labelled-ids")
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     ids = known.where("false")
     for y in (0, 1):
         ids = ids.unionByName(known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    return texts(docs).join(F.broadcast(ids), "doc_id"), sizes  # at most 2 * per_class ids
+    found = texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), sizes

@@ -6,7 +6,7 @@ length, made a probability by logistic regression. Only documents have labels: l
 and are labelled anew by the model's own marginals between rounds of training (at least the worst line stays bad).
 
 Training is one task over a bounded sample (at most `per_class` documents of each class). Defined cases: a null or empty text is one
-empty line; repeated rows have equal scores; without labels of both classes every score is 0.5; an empty table gives an empty result;
+empty line; letters of other scripts count as letters; repeated rows have equal scores; without labels of both classes every score is 0.5; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -26,6 +26,18 @@ _ALL = bytes(range(256))
 _UPPER = bytes(range(65, 91)) + bytes(c for c in range(0xC0, 0xDF) if c != 0xD7)
 _LOWER = bytes(range(97, 123)) + bytes(c for c in range(0xDF, 0x100) if c != 0xF7)
 NOT = {k: bytes(c for c in _ALL if c not in v) for k, v in {"upper": _UPPER, "lower": _LOWER, "symbol": b"#*$%&<>", "bar": b"|", "bang": b"!?", "digit": b"0123456789", "stop": b".,;:"}.items()}
+
+
+class _Narrow(dict):
+    """Characters beyond Latin-1 as others of their sort: capitals, other letters, digits, and the rest, which is no feature."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        self[c] = x if c < 256 else ("X" if x.isupper() else "x" if x.isalpha() else "0" if x.isdigit() else "_")
+        return self[c]
+
+
+NARROW = _Narrow()
 OWN = 14
 NEAR = (1, 2, 3, 4, 8, 9)  # features of a line that its neighbours see
 WIDTH = OWN + 2 * len(NEAR)
@@ -37,9 +49,12 @@ def own_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     seen: dict[str, int] = {}
     rows, sizes = [], []
     for line in lines:
-        raw = line.encode("latin-1", "replace")
+        try:
+            raw = line.encode("latin-1")
+            words = raw.split()
+        except UnicodeEncodeError:  # words stay as they are, so that only equal ones are equal
+            raw, words = line.translate(NARROW).encode("latin-1"), line.split()
         size = len(raw)
-        words = raw.split()
         n = len(words) or 1
         up, low, sym, bar, bang, dig, stop = (len(raw.translate(None, NOT[k])) for k in ("upper", "lower", "symbol", "bar", "bang", "digit", "stop"))
         letters = up + low or 1
