@@ -134,11 +134,14 @@ class Limits:
         return self.by_stratum.get(lang)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """_lang, _limits: a row for each stratum with a cutoff. There are at most as many as labels divided by what a cutoff needs."""
+        """_lang, _limits: a row for each stratum with a cutoff, to be broadcast if these are few, as they are unless thousands of strata have
+        hundreds of labels each."""
         rows = [(lang, list(x)) for lang, x in self.by_stratum.items() if min(x) < math.inf]
-        return spark.createDataFrame(rows, "_lang string, _limits array<double>")
+        table = spark.createDataFrame(rows, "_lang string, _limits array<double>")
+        return F.broadcast(table) if len(rows) <= BROADCAST else table
 
 
+BROADCAST = 10_000  # strata
 COUNTED = "key long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
@@ -151,6 +154,7 @@ def counted(docs: DataFrame, name: str) -> DataFrame:
         for b in it:
             rows = [(xxhash.xxh64_intdigest((t.as_py() or "").encode("utf-8")) - (1 << 63), *counts(t.as_py())) for t in b.column(text)]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * kind.num_fields
+            del rows
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(columns, fields=list(kind))], schema=b.schema.append(pa.field(name, kind)))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, docs.sparkSession.createDataFrame([], COUNTED).schema)]))
@@ -229,7 +233,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, lev
     rows = cut(counted(docs, name), "counted-documents")
     limits = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), f"{name}.*"), labels, risk, level).table(docs.sparkSession)
     limit = unused(docs, "limits")
-    one = limits.toDF(unused(docs, "stratum"), limit)
+    one = limits.withColumnsRenamed({"_lang": unused(docs, "stratum"), "_limits": limit})
     x = F.col(name)
     rate = [x["n_symbols"] / F.greatest(x["n_words"], F.lit(1)), x["n_dup_lines"] / F.greatest(x["n_lines"], F.lit(1)), x["n_repeat_words"] / F.greatest(x["n_words"], F.lit(1))]
     ok = (x["n_words"] >= 10) & (100 * x["n_repeat_words"] <= 20 * x["n_words"])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm.common import cut, rows_batch, unused
+from treelake.llm.common import cut, release, rows_batch, unused
 
 U = np.uint64
 SEGMENT, PLACE = 1 << 18, 20  # windows handled at once; bits of a place among them
@@ -359,7 +359,10 @@ def _choose(lengths: tuple[int, ...], buckets: int) -> Callable:
                 parts.append((kh, wh, uid, tag, p1.astype(np.int32), (p2 - p1).astype(np.uint16), (at - p1).astype(np.uint16), np.zeros(len(doc), np.uint8)))
         if parts:
             cols = dict(zip(SUFFIX, map(np.concatenate, zip(*parts))))
+            parts.clear()
             yield from _block_batches(_packed(cols, _routes(cols, cols["kh"], np.zeros(len(cols["kh"]), U), buckets), SUFFIX))
+            del cols
+            release()
 
     return run
 
@@ -485,6 +488,9 @@ def _repeated(lengths: tuple[int, ...]) -> Callable:
             twice[np.flatnonzero(cols["flags"] & ROUTED > 0)] |= singles.result()[0]
             hit = np.flatnonzero(twice & (cols["flags"] & WANT > 0))
             yield from _spans(cols["uid"][hit], cols["tag"][hit], cols["p1"][hit], cols["p1"][hit], (cols["flags"][hit] >> 5).astype(np.int32))
+        arrays.levels.clear()
+        rows.clear()
+        release()
 
     return run
 
