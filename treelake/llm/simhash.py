@@ -216,12 +216,13 @@ def near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest, with all columns; those without an id stay if some component has no
-    other. Of rows with equal id and text one stays; rows with one id and other texts stay or go together. Texts aren't shuffled where
-    the kept ids fit a broadcast, which Spark decides by their size, except those of repeated ids."""
+    other. Of rows with equal id and text one stays; rows with one id and other texts stay or go together. Texts are shuffled once, at
+    any size: the ids that stay grow with the documents, so they are never broadcast."""
     id_ = unused(docs, "stay")
     groups = near_duplicates(docs, distance)
     stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("rows")), "stay")
     mine = docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+    stay = stay.hint("merge")
     again = stay.where("rows > 1").select(id_)
     if again.isEmpty():
         return docs.join(stay.select(id_), mine, "left_semi")
