@@ -107,3 +107,60 @@ def test_marginals_against_enumeration():
             for k in range(n - 1):
                 c[y[k], y[k + 1]] += s
         assert np.allclose(bad[0, :n], p / z) and np.allclose(pairs, c / z)
+
+
+def _plain_places(text):
+    import re
+    import zlib
+
+    m, words = (1 << 64) - 1, re.findall(r"\w+", text.lower())
+    h = [zlib.crc32(w.encode()) for w in words]
+    out = [x * 0x9E3779B97F4A7C15 for x in h]
+    for i, n in enumerate((4, 6)):
+        out += [zlib.crc32(w[:n].encode(), n) * 0x9E6C63D0876A9A47 + i for w in words]
+    out += [((a * 0xBF58476D1CE4E5B9 & m) ^ b) * 0x94D049BB133111EB for a, b in zip(h, h[1:])]
+    out += [((a * 0xD6E8FEB86659FD93 & m) ^ b) * 0xC2B2AE3D27D4EB4F for a, b in zip(h, h[2:])]
+    return {((x & m) >> 44) + 1 for x in out}
+
+
+def _plain_ftrl(rows, sizes, alpha=0.2, beta=1.0, l1=3.0, l2=1.0):
+    from math import exp, sqrt
+
+    z, n = {}, {}
+
+    def weight(k):
+        zk, bound = z.get(k, 0.0), l1 if k else 0.0
+        return 0.0 if abs(zk) <= bound else -(zk - (bound if zk > 0 else -bound)) / ((beta + sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    have = [sum(y == k for _, y in rows) for k in (0, 1)]
+    part = [sizes[k] / have[k] for k in (0, 1)]
+    random_ = np.random.default_rng(0)
+    for _ in range(3):
+        for i in random_.permutation(len(rows)):
+            places, y = rows[i]
+            w = {k: weight(k) for k in places}
+            g = (1 / (1 + exp(-max(-30, min(30, sum(w.values()))))) - y) * part[y] / min(part)
+            for k in places:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+    return {k: w for k in z if (w := weight(k))}
+
+
+def test_toxicity_query_against_plain_python(spark):
+    """The whole query on a small table: the same features, weights and scores by dictionaries."""
+    import math
+    import zlib
+
+    from treelake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    known = sorted(k for k in labels if k in docs and zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [({0} | _plain_places(docs[k]), labels[k]) for k in known]
+    sizes = {y: sum(labels[k] == y for k in known) for y in (0, 1)}
+    w = _plain_ftrl(rows, sizes)
+    for r in queries.op2_toxicity(spark, sf).collect():
+        s = sum(w.get(k, 0.0) for k in {0} | _plain_places(docs[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-s))) < 1e-5 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)

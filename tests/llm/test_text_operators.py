@@ -525,3 +525,77 @@ def test_mpeg_audio(odd, none):
     assert mpeg_audio.digests(odd).count() == len(ODD) + 3 and mpeg_audio.digests(none).count() == 0
     r = mpeg_audio.probe(mpeg_audio.media_column(odd.where("doc_id = 12"))).first()
     assert r.samples == 1152 * len(r.offsets) and r.crc_failed == 0
+
+
+def test_mpeg_query_against_another_writer(spark):
+    """Media made anew from the public frame layout, bit by bit, for every text of a table."""
+    from treelake.llm import queries
+
+    sizes = {k: 144 * b // 32 for k, b in enumerate((0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)) if k}
+
+    def crc(bits):
+        c = 0xFFFF
+        for bit in bits:
+            c = (c << 1 ^ (0x8005 if (c >> 15) ^ bit else 0)) & 0xFFFF
+        return c
+
+    def frame(kbit, body):
+        bits = "1" * 11 + "11" + "01" + "0" + f"{kbit:04b}" + "10" + "0" + "0" + "11" + "00" + "0" + "0" + "00"
+        head = int(bits, 2).to_bytes(4, "big")
+        covered = [int(x) for byte in head[2:] + bytes(17) for x in f"{byte:08b}"]
+        return (head + crc(covered).to_bytes(2, "big") + bytes(17) + body).ljust(sizes[kbit], b"\0")
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op10_mpeg_audio(spark, "/root/testdata/sf0.001").collect():
+        raw = docs[r.doc_id]
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        parts = [payload[k : k + 1417] for k in range(0, len(payload), 1417)]
+        frames = [frame(min(k for k in sizes if sizes[k] - 23 >= len(p)), p) for p in parts]
+        total, begins = sizes[8] + sum(map(len, frames)), [sizes[8] + sum(map(len, frames[:k])) for k in range(len(frames))]
+        toc = bytes(min(255, begins[i * len(frames) // 100] * 256 // total) for i in range(100))
+        text = b"\x03payload-bytes\0" + str(len(payload)).encode()
+        sync = lambda n: bytes((n >> s) & 127 for s in (21, 14, 7, 0))
+        tag = b"TXXX" + sync(len(text)) + b"\0\0" + text
+        tag = b"ID3\x04\0\0" + sync(len(tag)) + tag
+        media = tag + frame(8, b"Xing" + (7).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + toc) + b"".join(frames)
+        seek = ",".join(str(len(tag) + x) for x in begins)
+        assert tuple(r) == (r.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"duration={1152 * len(frames)}/32000;frames={len(frames)};crc={len(frames) + 1}/{len(frames) + 1};seek={seek}")
+
+
+def test_mpeg_tags_tables_and_free_format():
+    rng = random.Random(9)
+    sync, media = mpeg_audio.synchsafe, mpeg_audio.store(bytes(3000))
+    audio = media[mpeg_audio.parse(media).frames[0][0] - mpeg_audio.FRAMES[7][1] :]
+    latin = lambda s: b"\0" + s
+    frame3 = b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + latin(b"title")
+    frame4 = b"TIT2" + sync(10) + b"\0\1" + sync(6) + latin(b"title")
+    odd = b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + latin(b"a\xff\xe0b")
+    for head, body, want in (
+        (b"ID3\3\0\0", frame3, "title"), (b"ID3\2\0\0", b"TT2" + (6).to_bytes(3, "big") + latin(b"title"), "title"), (b"ID3\3\0\x40", (6).to_bytes(4, "big") + bytes(6) + frame3, "title"),
+        (b"ID3\4\0\x40", sync(6) + b"\1\0" + frame4, "title"), (b"ID3\3\0\x80", odd.replace(b"\xff", b"\xff\0"), "a\xff\xe0b"), (b"ID3\4\0\x10", frame4 + bytes(5), "title"),
+    ):
+        tag = head + sync(len(body)) + body + (b"3DI\4\0\x10" + sync(len(body)) if head[5] & 0x10 else b"")
+        m = mpeg_audio.parse(tag + audio)
+        assert want in m.tags.values() and not m.skipped and len(m.frames) == 3, (head, m.tags)
+    # free format: Layer III, no bitrate, frames of 300 bytes and every third padded by one
+    free = b"".join((bytes((0xFF, 0xFB, 2 << 2 | (k % 3 == 0) << 1, 0xC0)) + bytes(296 + (k % 3 == 0))) for k in range(9))
+    m = mpeg_audio.parse(b"\0" * 7 + free)
+    assert [at for at, _ in m.frames][:3] == [7, 308, 608] and len(m.frames) in (8, 9) and m.samples == 1152 * len(m.frames)
+    # Layer I, stereo, with a checksum over 32 bytes of allocation
+    alloc = rng.randbytes(32)
+    head = b"\xff\xfe\x50\x00"
+    size = mpeg_audio.header(head).size
+    one = head + mpeg_audio.crc16(head[2:] + alloc).to_bytes(2, "big") + alloc + bytes(size - 38)
+    bad = bytearray(one)
+    bad[10] ^= 4
+    m = mpeg_audio.parse(one * 3 + bytes(bad) + one)
+    assert (m.crc_checked, m.crc_failed, m.samples) == (5, 1, 5 * 384)
+    two = b"\xff\xfc\x50\x00"
+    m = mpeg_audio.parse((two + bytes(mpeg_audio.header(two).size - 4)) * 3)
+    assert (m.crc_checked, m.crc_unchecked, len(m.frames)) == (0, 3, 3)
+    # VBRI with its own seek points
+    h = b"\xff\xfb\x90\x00"
+    table = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"".join(n.to_bytes(2, "big") for n in (100, 110, 120))
+    first = (h + bytes(32) + table).ljust(417, b"\0")
+    m = mpeg_audio.parse(first + (h + bytes(413)) * 4)
+    assert m.vbr["points"] == [200, 420, 660] and m.vbr["frames_per_point"] == 4 and len(m.frames) == 4

@@ -2,11 +2,14 @@
 
 A payload is stored without loss as the main-data bytes of MPEG-1 Layer III frames (32 kHz, mono, protected by CRC-16) of varying
 bitrate, behind an ID3v2 tag that has the payload's size and a first frame with a Xing table. The reader works on any byte string:
-it skips tags, looks for frame headers that agree with the next one, steps from frame to frame and looks again where that fails,
-verifies checksums, reads the Xing or VBRI table, and gives the exact duration as samples over rate, and each frame's offset.
+it reads tags (with unsynchronisation, extended headers and footers), looks for frame headers that agree with the next one, steps from
+frame to frame and looks again where that fails, verifies checksums of Layer III (side information) and Layer I (bit allocation), reads
+the Xing or VBRI table with its seek points, and gives the exact duration as samples over rate, and each frame's offset. Free-format
+frames are measured by the distance of their headers.
 
 Defined cases: a null or empty text is a payload of 64 bytes 0; equal texts have equal values; other columns are ignored; media with
-no frame have duration 0 and no offsets; a frame cut off at the end is not counted.
+no frame have duration 0 and no offsets; a frame cut off at the end is not counted; what Layer II's checksum covers depends on decoded
+tables, so its protected frames count as crc_unchecked.
 """
 
 from __future__ import annotations
@@ -65,11 +68,15 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int = 32  # from this subband on joint stereo has one allocation for both channels
 
     @property
     def side(self) -> int:
-        """Bytes of side information that the checksum covers; 0 where it isn't known without decoding."""
-        if self.layer != 3:
+        """Bytes behind the checksum that it covers: side information, or Layer I's bit allocation (of joint stereo at most); 0 where
+        they aren't known without decoding."""
+        if self.layer == 1:
+            return 16 if self.mono else 16 + self.bound // 2
+        if self.layer == 2:
             return 0
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
@@ -92,7 +99,35 @@ def header(b: bytes) -> Header | None:
     pad = b[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     size = (12 * bitrate // rate + pad) * 4 if layer == 1 else samples // 8 * bitrate // rate + pad
-    return Header(version, layer, not b[1] & 1, bitrate, rate, b[3] >> 6 == 3, size, samples)
+    return Header(version, layer, not b[1] & 1, bitrate, rate, b[3] >> 6 == 3, size, samples, _bound(b[3]))
+
+
+def _bound(b: int) -> int:
+    return 4 * (b >> 4 & 3) + 4 if b >> 6 == 1 else 32
+
+
+FREE = 8192  # bytes in which a free-format frame ends
+
+
+def free_header(data: bytes, at: int, end: int, size: int | None = None) -> Header | None:
+    """The header of a frame without a stated bitrate. size: that of a frame without padding, if it is known; else the next header of
+    its kind tells it."""
+    b = data[at : at + 4]
+    if len(b) < 4 or b[0] != 0xFF or b[1] & 0xE0 != 0xE0 or b[2] >> 4:
+        return None
+    like = header(bytes((b[0], b[1], b[2] | 0x10, b[3])))
+    if like is None:
+        return None
+    pad = (b[2] >> 1 & 1) * (4 if like.layer == 1 else 1)
+    if size is None:
+        k = data.find(b[:2], at + like.data_at, min(end, at + FREE))
+        while k >= 0 and (k + 4 > end or (data[k + 2] ^ b[2]) & 0xFC or (data[k + 3] ^ b[3]) & 0xC0):
+            k = data.find(b[:2], k + 1, min(end, at + FREE))
+        if k < 0:
+            return None
+        size = k - at - pad
+    bitrate = (size // 4 * like.rate // 12) if like.layer == 1 else size * like.rate * 8 // like.samples
+    return Header(like.version, like.layer, like.protected, bitrate, like.rate, like.mono, size + pad, like.samples, like.bound)
 
 
 def synchsafe(n: int) -> bytes:
@@ -113,19 +148,33 @@ class Media:
     skipped: int = 0  # bytes that are in no frame or tag
     crc_failed: int = 0
     crc_checked: int = 0
+    crc_unchecked: int = 0
 
 
 def _tag(data: bytes, at: int, out: Media) -> int:
-    """Reads an ID3v2.3 or 2.4 tag's text frames; where the tag ends."""
+    """Reads the text frames of an ID3v2 tag of version 2.2 to 2.4; where the tag ends."""
+    version, flags = data[at + 3], data[at + 5]
     end = at + 10 + from_synchsafe(data[at + 6 : at + 10])
-    k = at + 10
-    while k + 10 <= min(end, len(data)) and data[k]:
-        n = from_synchsafe(data[k + 4 : k + 8]) if data[at + 3] == 4 else int.from_bytes(data[k + 4 : k + 8], "big")
-        if data[k : k + 1] == b"T" and n:
-            body = data[k + 10 : k + 10 + n]
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            out.tags[data[k : k + 4].decode("latin-1")] = text
-        k += 10 + n
+    body = data[at + 10 : min(end, len(data))]
+    if version == 4 and flags & 0x10:
+        end += 10  # a footer
+    if version < 4 and flags & 0x80:
+        body = body.replace(b"\xff\0", b"\xff")
+    k, name, head = 0, 3 if version == 2 else 4, 6 if version == 2 else 10
+    if flags & 0x40 and version > 2 and len(body) >= 4:
+        k = from_synchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while k + head <= len(body) and body[k]:
+        raw = body[k + name : k + name + (3 if version == 2 else 4)]
+        n = from_synchsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        if body[k : k + 1] == b"T" and n:
+            one = body[k + head : k + head + n]
+            if version == 4 and (body[k + 9] & 2 or flags & 0x80):
+                one = one.replace(b"\xff\0", b"\xff")
+            if version == 4 and body[k + 9] & 1:
+                one = one[4:]  # its length before that
+            if one:
+                out.tags[body[k : k + name].decode("latin-1")] = one[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(one[0], "utf-8"), "replace")
+        k += head + n
     return end
 
 
@@ -143,12 +192,18 @@ def _vbr(data: bytes, at: int, h: Header) -> dict:
         return out
     k = at + 36
     if data[k : k + 4] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[k + 10 : k + 14], "big"), "frames": int.from_bytes(data[k + 14 : k + 18], "big")}
+        number = lambda a, b: int.from_bytes(data[k + a : k + b], "big")
+        entries, scale, size = number(18, 20), number(20, 22), number(22, 24)
+        points, place = [], at
+        for i in range(entries if 0 < size <= 4 and k + 26 + entries * size <= len(data) else 0):
+            place += number(26 + i * size, 26 + (i + 1) * size) * scale
+            points.append(place)
+        return {"kind": "VBRI", "bytes": number(10, 14), "frames": number(14, 18), "frames_per_point": number(24, 26), "points": points}
     return {}
 
 
 def parse(data: bytes) -> Media:
-    out, at, n, locked = Media(), 0, len(data), False
+    out, at, n, locked, free = Media(), 0, len(data), False, None
     end = n - 128 if n >= 128 and data[n - 128 : n - 125] == b"TAG" else n
     if end < n:
         out.tags["ID3v1"] = data[n - 125 : n - 95].decode("latin-1").rstrip("\0 ")
@@ -158,9 +213,11 @@ def parse(data: bytes) -> Media:
             at, locked = _tag(data, at, out), False
             continue
         h = header(data[at : at + 4])
+        if h is None and (h := free_header(data, at, end, free if locked else None)) is not None:
+            free = h.size - (data[at + 2] >> 1 & 1) * (4 if h.layer == 1 else 1)
         if h is not None and not locked:  # a frame is believed if the next agrees with it, or the data end
             nxt = at + h.size
-            other = header(data[nxt : nxt + 4])
+            other = header(data[nxt : nxt + 4]) or free_header(data, nxt, end, free)
             if nxt > end or nxt < end and data[nxt : nxt + 3] != b"ID3" and (other is None or (other.version, other.layer, other.rate) != (h.version, h.layer, h.rate)):
                 h = None
         if h is None:
@@ -171,7 +228,9 @@ def parse(data: bytes) -> Media:
         if at + h.size > end:
             out.skipped += end - at
             break
-        if h.protected and h.layer == 3:
+        if h.protected and h.layer == 2:
+            out.crc_unchecked += 1
+        elif h.protected:
             out.crc_checked += 1
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
             out.crc_failed += crc16(covered) != int.from_bytes(data[at + 4 : at + 6], "big")
@@ -251,13 +310,14 @@ def media_column(df: DataFrame) -> DataFrame:
 
 def probe(df: DataFrame, media_col: str = "media") -> DataFrame:
     """doc_id, exact duration, numbers of checksums, and frame seek offsets of a media column."""
-    schema = pa.schema([("doc_id", pa.int64()), ("samples", pa.int64()), ("rate", pa.int64()), ("crc_checked", pa.int64()), ("crc_failed", pa.int64()), ("skipped", pa.int64()), ("offsets", pa.list_(pa.int64()))])
+    numbers = ("samples", "rate", "crc_checked", "crc_failed", "crc_unchecked", "skipped")
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in numbers], ("offsets", pa.list_(pa.int64()))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = [parse(x.as_py() or b"") for x in b.column(1)]
-        return rows_batch(schema, [b.column(0), [x.samples for x in m], [x.rate for x in m], [x.crc_checked for x in m], [x.crc_failed for x in m], [x.skipped for x in m], [[at for at, _ in x.frames] for x in m]])
+        return rows_batch(schema, [b.column(0), *[[getattr(x, c) for x in m] for c in numbers], [[at for at, _ in x.frames] for x in m]])
 
-    return map_batches(df.select("doc_id", media_col), run, "doc_id long, samples long, rate long, crc_checked long, crc_failed long, skipped long, offsets array<long>")
+    return map_batches(df.select("doc_id", media_col), run, "doc_id long, " + ", ".join(f"{c} long" for c in numbers) + ", offsets array<long>")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -274,7 +334,7 @@ def digests(df: DataFrame) -> DataFrame:
             m = parse(media)
             back = load(media, m)
             offsets = ",".join([str(at) for at, _ in m.frames])
-            feature = f"duration={duration(m)};frames={len(m.frames)};crc={m.crc_checked - m.crc_failed}/{m.crc_checked};seek={zlib.crc32(offsets.encode()):08x}"
+            feature = f"duration={duration(m)};frames={len(m.frames)};crc={m.crc_checked - m.crc_failed}/{m.crc_checked};seek={offsets}"
             out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         return rows_batch(schema, list(zip(*out)))
 

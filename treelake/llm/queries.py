@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import mpeg_audio, packing, pii, quality_crf, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_store, toxicity
+from treelake.llm import mpeg_audio, packing, pii, quality_crf, quality_rules, quality_sql, sentencepiece_codec, simhash, suffix_dedup, token_store, toxicity
 from treelake.llm.common import read
 
 
@@ -66,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Counts, tests and verdicts can be written in SQL; BPE, hashing with seeds, trained models and file formats can't.
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_sql.SQL}
