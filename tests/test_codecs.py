@@ -149,6 +149,19 @@ def test_pack_round_trip_with_deltas_and_index():
     for k in range(0, len(whole), 7):
         s.feed(whole[k : k + 7])
     assert [x.content for x in s.finish()] == [want, base, want]
+    for step in (1, 25, 1000):
+        s = p.StreamReader()
+        for k in range(0, len(whole), step):
+            s.feed(whole[k : k + step])
+            assert len(s.buffer) <= 64 + step  # entries are inflated as they come
+        assert [x.content for x in s.finish()] == [want, base, want]
+    for bad in (whole[:-1], whole[:40], b"PACX" + whole[4:], whole + b"x", whole[:-1] + bytes([whole[-1] ^ 1])):
+        with pytest.raises(o.TreelakeError):
+            s = p.StreamReader()
+            s.feed(bad)
+            s.finish()
+    with pytest.raises(o.TreelakeError, match="deadline"):
+        p.StreamReader(seconds=-1).feed(whole)
     for bad in (whole[:-1], whole[:40], b"PACX" + whole[4:]):
         with pytest.raises(o.TreelakeError):
             p.read_pack(bad)

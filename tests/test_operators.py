@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treelake.functions import expressions as x
 from treelake.functions import objects as o
+from treelake.functions.objects import TreelakeError
 from treelake.operators import blame, diff, graph, grep, paths, reports, workspace
 from treelake.sources import pack, repository
 
@@ -202,3 +203,138 @@ def test_streams(spark, tmp_path):
         (folder / f"{k}.pack").write_bytes(pack.write_pack([("blob", b"same"), ("blob", b"%d" % k)])[0])
         arriving_packs(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+
+
+def _random_dag(rng, n):
+    return [(k, p) for k in range(1, n) for p in sorted({rng.randrange(max(0, k - 6), k) for _ in range(1 if rng.random() < 0.7 else 2)})]
+
+
+def _reach(edges, seeds):
+    seen, stack = set(seeds), list(seeds)
+    while stack:
+        c = stack.pop()
+        for a, b in edges:
+            if a == c and b not in seen:
+                seen.add(b)
+                stack.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("local", [2_000_000, 0])
+def test_closures_by_one_task_and_by_tables(spark, monkeypatch, local):
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    rng = random.Random(3)
+    e = _random_dag(rng, 120)
+    edges = spark.createDataFrame(e, "src long, dst long")
+    for seeds in ([119], [60, 80, 100], [0], [5000]):
+        got = [r.id for r in graph.reachable(edges, spark.createDataFrame([(s,) for s in seeds], "id long")).collect()]
+        assert sorted(got) == sorted(_reach(e, seeds))
+    a, b = _reach(e, [118]), _reach(e, [117])
+    best = {c for c in a & b if not any(dst == c for src, dst in e if src in a & b)}
+    assert {r.id for r in graph.merge_bases(edges, 118, 117).collect()} == best
+    got = {(r.seed, r.id) for r in graph.labelled_reach(edges, spark.createDataFrame([("x", 50), ("y", 90), ("x", 30)], "seed string, id long")).collect()}
+    assert got == {("x", i) for i in _reach(e, [50, 30])} | {("y", i) for i in _reach(e, [90])}
+    none = spark.createDataFrame([], "src string, dst string")
+    assert [r.id for r in graph.reachable(none, spark.createDataFrame([("a",)], "id string")).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("local, seconds", [(2_000_000, 5), (0, 90)])
+def test_a_deep_chain_ends_in_time(spark, monkeypatch, local, seconds):
+    import time
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    chain = [(f"s{k}", f"s{k - 1}") for k in range(1, 500)] + [(f"{t}{k}", f"{t}{k - 1}" if k else "s499") for t in "ab" for k in range(5)]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    graph.merge_bases(edges.limit(2), "s2", "s1").collect()
+    began = time.perf_counter()
+    assert [r.id for r in graph.merge_bases(edges, "a4", "b4").collect()] == ["s499"]
+    assert time.perf_counter() - began < seconds
+
+
+def test_diff_trees_grows_with_depth_alone(spark):
+    import time
+
+    def tree(tag, depth):
+        return [(f"{tag}{k}", "40000", "d", f"{tag}{k + 1}") for k in range(depth)] + [(f"{tag}{depth}", "100644", "f", tag), (f"{tag}0", "40000", "same", "shared")]
+
+    entries = spark.createDataFrame(tree("a", 12) + tree("b", 12) + [("shared", "100644", "x", "y")], "tree string, mode string, name string, sha string")
+    began = time.perf_counter()
+    out = diff.diff_trees(entries, "a0", "b0")
+    assert [tuple(r) for r in out.collect()] == [("/".join("d" * 12) + "/f", "modified", "100644", "100644", "a", "b")]
+    assert time.perf_counter() - began < 60
+    assert diff.diff_trees(entries, "a0", "a0").count() == 0
+    assert {(r.path, r.op) for r in diff.diff_trees(entries, None, "a11").collect()} == {("d/f", "added")}
+
+
+def test_long_line_diffs_in_linear_space():
+    import random
+
+    from treelake.functions import lines as li
+
+    rng = random.Random(1)
+    assert li.matched_pairs([f"a{k}" for k in range(20_000)], [f"b{k}" for k in range(20_000)]) == []
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+        plain, linear = li.matched_pairs(a, b), li.linear_pairs(a, b)
+        assert len(plain) == len(linear) and all(a[i] == b[j] for i, j in linear)
+        assert linear == sorted(linear) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(linear, linear[1:]))
+    a = [rng.randrange(300) for _ in range(3000)]
+    b = [rng.randrange(300) for _ in range(3000)]
+    assert len(li.matched_pairs(a, b)) == li._row(a, b)[-1]
+
+
+def test_matches_context_and_limits(spark):
+    f = spark.createDataFrame([("a.ex", "one\ntarget target\nthree\nlast"), ("b/c.ex", "x\nTarget\n"), ("bin", "target\0")], "path string, data string")
+    got = [tuple(r) for r in grep.grep_matches(f, "target", ignore_case=True, before=1, after=2).orderBy("path", "match_number").collect()]
+    assert got == [("a.ex", 2, 1, "target", "target target", ["one"], ["three", "last"]), ("a.ex", 2, 2, "target", "target target", ["one"], ["three", "last"]), ("b/c.ex", 2, 1, "Target", "Target", ["x"], [])]
+    assert [r.match for r in grep.grep_matches(f, "target", ignore_case=True, path_glob="b/*").collect()] == ["Target"]
+    both = {"t": ("target", False, False), "e": ("t.*e", True, False)}
+    assert [(r.tag, r.line_number, r.match) for r in grep.multi_grep_matches(f, both, most=2).collect()] == [("e", 2, "target targe"), ("t", 2, "target")]
+    assert [(r.tag, r.n_matches, r.context_before) for r in grep.multi_grep(f, both, before=1).orderBy("tag", "line_number").collect()] == [("e", 1, ["one"]), ("e", 1, ["target target"]), ("t", 2, ["one"])]
+    w = grep.grep_whole(f, "t\nth", before=1, after=1).collect()
+    assert [tuple(r) for r in w] == [("a.ex", 2, 16, "t\nth", "target target", ["one"], ["three"])]
+    assert grep.grep_whole(f, "t", path_glob="a*", most=3).count() == 3
+
+
+def test_streams_of_bytes_and_lines(spark):
+    data = b"".join(b"line %d\n" % k for k in range(1, 11)) + b"end"
+    f = spark.createDataFrame([("t", data)], "path string, data binary")
+    whole = lambda **o: b"".join(bytes(r.data) for r in paths.stream_read(f, "t", **o).orderBy("chunk").collect())
+    assert whole() == data and whole(size=7) == data and whole(byte_range=(3, 9)) == data[3:9] and whole(byte_range=(70, None)) == data[70:]
+    assert whole(line_range=(2, 3)) == b"line 2\nline 3\n" and whole(line_range=(10, None)) == b"line 10\nend" and whole(line_range=(50, 60)) == b""
+    assert whole(byte_range=(7, 21), line_range=(1, 1)) == b"line 2\n"
+    for bad in ({"byte_range": (5, 2)}, {"line_range": (0, 2)}):
+        with pytest.raises(TreelakeError):
+            whole(**bad)
+    text = f.selectExpr("path", "decode(data, 'UTF-8') AS data")
+    assert [(r.line_number, r.line) for r in paths.read_lines(text, 10).collect()] == [(10, "line 10"), (11, "end")]
+    assert [r.line_number for r in paths.read_lines(text, chosen=[11, 2, 2, 40]).collect()] == [2, 11] and paths.read_lines(text, 30, 40).count() == 0
+
+
+def test_caches_by_ranges(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), k, rng.randrange(0, 50)) for k in range(400)]
+    got = {(r.cache, r["at"], r.kept_bytes) for r in reports.cache_keeps(spark.createDataFrame(rows, "cache string, at long, size long").repartition(5), 900).collect()}
+    want, total = set(), {}
+    for c, at, size in sorted(rows, key=lambda r: -r[1]):
+        total[c] = total.get(c, 0) + size
+        if total[c] <= 900:
+            want.add((c, at, total[c]))
+    assert got == want
+    e, told = spark.createDataFrame(rows, "cache string, at long, size long"), []
+    assert reports.bounded(e, 900, "evict").count() == len(want) and reports.bounded(e, 900, lambda n, over: told.append(n)).count() == 400 and told == [3]
+    with pytest.raises(TreelakeError):
+        reports.bounded(e, 900, "error")
+    assert reports.bounded(e, 10**9, "error").count() == 400
+    p = reports.near_percentiles(spark.createDataFrame([("x", k) for k in range(1000)], "event string, duration_us long")).first()
+    assert abs(p.p50 - 500) <= 2 and p.most == 999
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(k * 7919 % 1000,) for k in range(1000)]
+    got = graph.numbered(spark.createDataFrame(rows, "x long").repartition(6), [F.desc("x")]).collect()
+    assert {(r.x, r.ord) for r in got} == {(x, 1000 - x) for x in range(1000)}

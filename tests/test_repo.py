@@ -1,8 +1,8 @@
 import pytest
 
 from treelake.functions import objects as o
-from treelake.repo import Repo
-from treelake.sources import repository, transfer
+from treelake.repo import Registry, Repo
+from treelake.sources import pack, repository, transfer
 
 
 def _commit(at, files, parents, who, time, message):
@@ -78,3 +78,145 @@ def test_clone_fetch_push(spark, where, tmp_path):
     assert transfer.filter_spec(("blob:limit", "10k")) == "blob:limit:10k" and transfer.filter_spec("x") == "x"
     with pytest.raises(o.TreelakeError):
         transfer.passes("odd")
+
+
+POINTER = b"version https://git-lfs.github.com/spec/v1\noid sha256:" + b"4d" * 32 + b"\nsize 12345\n"
+
+
+def test_point_questions_decode_one_object(spark, where, tmp_path):
+    at = str(tmp_path / "points")
+    repository.init(at)
+    c = _commit(at, {"README.md": "hello\n", "d/pointed.bin": POINTER.decode(), "d/t": "a\nb\nc\n"}, [], "A", 1, "one")
+    repository.write_ref(at, "refs/heads/main", c)
+    r = Repo.open(spark, at).materialize()
+    broken = r.objects.unionByName(spark.createDataFrame([("tree", "f" * 40, 3, b"bad"), ("commit", "e" * 40, 3, b"bad")], r.objects.schema))
+    r = Repo(broken, r.refs)  # decoding these would fail
+    assert r.read("HEAD", "d/pointed.bin") == ("100644", POINTER)
+    mode, p = r.read("HEAD", "d/pointed.bin", resolve_lfs_pointers=True)
+    assert (mode, p.oid, p.size, p.raw) == ("100644", "sha256:" + "4d" * 32, 12345, POINTER)
+    assert r.read("HEAD", "README.md", resolve_lfs_pointers=True) == ("100644", b"hello\n")
+    assert r.stat("HEAD", "d")["type"] == "tree" and r.stat("HEAD", "d/t")["size"] == 6 and r.stat("HEAD", "/")["mode"] == "40000"
+    assert r.exists("HEAD", "d/t") and not r.exists("HEAD", "d/u") and not r.exists("HEAD", "README.md/x")
+    assert r.read_lines("HEAD", "d/t", 2) == [(2, "b"), (3, "c")] and r.read_lines("HEAD", "d/t", chosen=[3, 1]) == [(1, "a"), (3, "c")]
+    with pytest.raises(o.TreelakeError):
+        r.stat("HEAD", "none")
+
+
+def test_grep_reads_each_content_once(spark, where):
+    at, *_ = where
+    r = Repo.open(spark, at).materialize()
+    found = r.multi_grep("side", {"l": ("L", False, False), "x": ("[x]", True, False)}, before=1)
+    assert {(x.tag, x.path, x.match) for x in found.collect()} == {("l", "f.txt", "L"), ("x", "d/g", "x")}
+    assert r.store_report().first().commits >= 4
+
+
+def test_spans_of_attached_profilers(spark, where):
+    from treelake.operators.reports import Profiler, profile_totals
+
+    r = Repo.open(spark, where[0]).materialize()
+    p = Profiler().attach()
+    r.ls("main")
+    r.read("main", "f.txt")
+    r.exists("main", "nothing")
+    events = [e for e, *_ in p.detach()]
+    assert events.count("fs.ls") == 3 and events.count("fs.read_path") == 1 and events.count("fs.stat") == 1
+    r.ls("main")
+    assert len(p.rows) == len(events) and profile_totals(p.table(spark)).where("event = 'fs.ls'").first().n == 3
+
+
+def test_lazy_and_filtered_clones(spark, where, tmp_path):
+    at, c1, c2, c3, side, tag = where
+    lazy, shallow = str(tmp_path / "lazy"), str(tmp_path / "shallow")
+    transfer.clone(spark, at, lazy, lazy=True)
+    assert Repo.tables(spark, lazy).objects.count() == 0
+    r = Repo.promised(spark, lazy)
+    assert r.read("side", "d/g")[1] == b"x"
+    assert transfer.ensure(spark, lazy, r.objects.where(f"sha = '{side}'")) == 1 and transfer.ensure(spark, lazy, r.objects.where(f"sha = '{side}'")) == 0
+    assert Repo.tables(spark, lazy).objects.count() == 1 and Repo.promised(spark, lazy).objects.count() == r.objects.count()
+    for depth, kinds in ((0, {"commit", "tag"}), (1, {"commit", "tag", "tree"}), (2, {"commit", "tag", "tree", "blob"})):
+        transfer.clone(spark, at, shallow, f"tree:{depth}")
+        objs = Repo.tables(spark, shallow).objects
+        assert {x.type for x in objs.select("type").distinct().collect()} == kinds
+    names = {x.name for x in Repo.tables(spark, shallow).tree_entries.collect()}
+    assert names >= {"d", "f.txt"} and Repo.promised(spark, shallow).read("side", "d/g")[1] == b"x"
+
+
+def test_workspaces_restore_commit_and_checkout(spark, tmp_path):
+    import os
+
+    at = str(tmp_path / "w")
+    repository.init(at)
+    c = _commit(at, {"a": "1\n", "d/g": "x"}, [], "A", 1, "one")
+    repository.write_ref(at, "refs/heads/main", c)
+    w = Repo.open(spark, at).materialize().workspace()
+    assert w.snapshot() == "pristine"
+    one = w.write("d/new", b"n")
+    saved = one.snapshot()
+    two = one.rm("d", recursive=True).write("z", b"z", "100755")
+    assert [x.path for x in two.walk().collect()] == ["a", "z"] and two.stat("z")["mode"] == "100755" and two.stat("z")["size"] == 1
+    assert [x.name for x in one.ls("d").collect()] == ["g", "new"] and one.stat("d")["type"] == "tree"
+    for bad in (lambda: two.stat("d/g"), lambda: one.ls("nope"), lambda: one.ls("a")):
+        with pytest.raises(o.TreelakeError):
+            bad()
+    assert two.restore(saved).tree() == saved == one.tree() and two.restore("pristine").tree() == w.tree()
+    assert two.restore(Repo.open(spark, at).tree("HEAD")).tree() == w.tree()
+    sha = one.commit_to(at, "refs/heads/main", "B <b@x> 5 +0000", "more")
+    r = Repo.open(spark, at)
+    assert r.resolve("main") == sha and r.read("main", "d/new")[1] == b"n" and [x.sha for x in r.ancestors("main").orderBy("ord").collect()] == [sha, c]
+    with pytest.raises(o.TreelakeError):
+        one.commit_to(at, "refs/heads/main", "B <b@x> 5 +0000", "nothing new")
+    first = two.commit_to(at, "refs/heads/fresh", "B <b@x> 5 +0000", "first")
+    assert Repo.open(spark, at).read("fresh", "z") == ("100755", b"z") and Repo.open(spark, at).read("fresh", "a")[1] == b"1\n" and first
+    out = str(tmp_path / "out")
+    link = two.write("l", b"a", "120000")
+    assert link.checkout(out) == 3 and open(os.path.join(out, "l")).read() == "1\n" and os.access(os.path.join(out, "z"), os.X_OK) and os.path.islink(os.path.join(out, "l"))
+    assert link.checkout(out) == 3  # a task may run again
+
+
+def test_loose_objects_and_packs_by_id(spark, where, tmp_path):
+    at = where[0]
+    ids = {r.sha for r in repository.loose_ids(spark, at).collect()}
+    assert ids == {r.sha for r in Repo.open(spark, at).objects.select("sha").collect()}
+    target = str(tmp_path / "packed")
+    transfer.push(spark, at, target, ["refs/heads/main"])
+    packs = target + "/objects/pack"
+    some = sorted(ids)[:3] + ["0" * 40]
+    got = {r.sha: bytes(r.content) for r in pack.lookup_objects(spark, packs, some).collect()}
+    whole = {r.sha: bytes(r.content) for r in pack.pack_objects(spark, packs).collect()}
+    assert got == {s: whole[s] for s in some if s in whole}
+    assert repository.read_object(target, where[1]) == ("commit", whole[where[1]])
+    sha = repository.put_object(at, "blob", b"to be deleted")
+    assert repository.read_object(at, sha) == ("blob", b"to be deleted")
+    assert repository.delete_object(at, sha) and not repository.delete_object(at, sha)
+    for bad in (lambda: repository.read_object(at, sha), lambda: repository.delete_object(at, "../x")):
+        with pytest.raises(o.TreelakeError):
+            bad()
+
+
+def test_handles_registries_and_prefetching(spark, where):
+    import threading
+
+    r = Repo.open(spark, where[0])
+    registry, opened = Registry(), []
+    start = lambda url: opened.append(url) or r
+    threads = [threading.Thread(target=registry.get_or_start, args=("u", start)) for _ in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    h = registry.lookup("u")
+    assert opened == ["u"] and registry.count() == 1 and registry.list() == ["u"] and h.get() is r
+    made = []
+    threads = [threading.Thread(target=h.fetch_once, args=("k", lambda x: made.append(1) or 5)) for _ in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert made == [1] and h.fetch_once("k", None) == 5
+    with pytest.raises(ZeroDivisionError):
+        h.fetch_once("bad", lambda x: 1 / 0)
+    assert h.fetch_once("bad", lambda x: 2) == 2
+    assert h.update(lambda x: x.prefetch(blobs=False)) is h.get() and h.get().objects.where("type = 'blob'").count() == 0
+    assert registry.stop("u") and not registry.stop("u")
+    with pytest.raises(o.TreelakeError):
+        registry.lookup("u")
+    job = r.prefetch_async()
+    assert job.wait(120).objects.count() == r.objects.count()
+    job = r.prefetch_async()
+    job.cancel()
+    with pytest.raises(o.TreelakeError):
+        job.wait()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelake.functions.lines import carryovers, lines, matched_pairs
@@ -35,13 +35,16 @@ def attribute(versions: list[tuple[int, str]]) -> list[tuple[int, str, int]]:
 
 def blame(history: DataFrame) -> DataFrame:
     """file, line_number, line, version. history: file, version, text of each file on its first-parent chain. Contents that equal the
-    version before are dropped first; one file's versions are held by one task."""
+    version before are dropped first; the versions of one file that differ are held by one task."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("version")
         rows = attribute(list(zip(map(int, pdf["version"]), pdf["text"].fillna(""))))
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["file", "line_number", "line", "version"])
 
     h = history.select(F.col("file").cast("string").alias("file"), F.col("version").cast("long").alias("version"), "text")
+    h = h.withColumn("_before", F.lag(F.sha1(F.encode("text", "UTF-8"))).over(Window.partitionBy("file").orderBy("version")))
+    h = h.where(~F.col("_before").eqNullSafe(F.sha1(F.encode("text", "UTF-8"))) | F.col("_before").isNull()).drop("_before")
     return h.groupBy("file").applyInPandas(run, OUT)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from treelake.functions.lines import additions, lines, matched_pairs
 from treelake.functions.objects import TreelakeError
+from treelake.operators.graph import shared_table
 
 SIDES = ("mode", "sha")
 
@@ -43,19 +44,22 @@ def limited(changes: DataFrame, most: int) -> DataFrame:
 
 def diff_trees(entries: DataFrame, old: str | None, new: str | None, most: int = 256) -> DataFrame:
     """Changes between two trees by a table of entries (tree, mode, name, sha). Level by level, only pairs of different subtrees are
-    entered, so equal ones are never read; an entry that changes its type isn't expanded."""
+    entered, so equal ones are never read; an entry that changes its type isn't expanded. Each level is one join and one aggregation,
+    and is written before the next."""
     spark = entries.sparkSession
     e = entries.select(F.col("tree").alias("_tree"), "name", "mode", "sha")
+    old_side, new_side = F.col("side") == 0, F.col("side") == 1
     level = spark.createDataFrame([("", old, new)], "dir string, a string, b string").where("not (a <=> b)")
     out = None
     for _ in range(most):
-        left = level.join(e, F.col("a") == F.col("_tree")).select("dir", "name", F.col("mode").alias("old_mode"), F.col("sha").alias("old_sha"))
-        right = level.join(e, F.col("b") == F.col("_tree")).select("dir", "name", F.col("mode").alias("new_mode"), F.col("sha").alias("new_sha"))
-        both = left.join(right, ["dir", "name"], "full_outer").where("not (old_sha <=> new_sha and old_mode <=> new_mode)")
+        sides = level.select("dir", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("_tree")), F.struct(F.lit(1).alias("side"), F.col("b").alias("_tree")))).alias("s")).select("dir", "s.*").where("_tree is not null")
+        sums = [F.max(F.when(on, F.col(c))).alias(f"{when}_{c}") for when, on in (("old", old_side), ("new", new_side)) for c in ("mode", "sha")]
+        both = sides.join(e, "_tree").groupBy("dir", "name").agg(*sums).where("not (old_sha <=> new_sha and old_mode <=> new_mode)")
         both = both.withColumn("path", F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name")))
         tree_a, tree_b = F.col("old_mode").eqNullSafe("40000"), F.col("new_mode").eqNullSafe("40000")
         enter = (tree_a & tree_b) | (tree_a & F.col("new_mode").isNull()) | (tree_b & F.col("old_mode").isNull())
         op = _operation(F.col("old_mode"), F.col("new_mode"), F.col("old_sha") == F.col("new_sha"))
+        both = shared_table(both)
         rows = both.where(~enter).select("path", op.alias("op"), "old_mode", "new_mode", "old_sha", "new_sha")
         out = rows if out is None else out.unionByName(rows)
         level = both.where(enter).select(F.col("path").alias("dir"), F.when(tree_a, F.col("old_sha")).alias("a"), F.when(tree_b, F.col("new_sha")).alias("b"))

@@ -1,27 +1,82 @@
-"""Commit and object graphs. Sets are computed by frontier joins that end at what is already known, with lineage cut in the shared
-checkpoint folder; orders that depend on a queue run for each repository in one task."""
+"""Commit and object graphs.
+
+What is reachable: graphs of at most LOCAL_EDGES edges (counted first) are walked by one task over arrays. Larger ones stay tables: the
+inner nodes of chains, which have one child and one parent, are taken out by pointer doubling, the rest is reached by frontier joins
+against what is known, and chains come back by the child at their end. Lineage is cut in the shared checkpoint folder. Orders that
+depend on a queue run for each repository in one task, over the ids and times that its start reaches."""
 
 from __future__ import annotations
 
 import heapq
 import os
+import re
 import uuid
 from collections import deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LOCAL_EDGES = 2_000_000  # edges that one task walks, some 100 MB
+LOCAL_SEEDS = 64  # labelled seeds that it walks from
+HOPS = 4  # steps in one round, before it is compared with what is known
+PARTS = 8  # tables of what is known, before they are written as one
+
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to spark.checkpoint.dir (a folder of our own where that is unset)."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/treelake-shared"
+    """The same rows from a table written to spark.checkpoint.dir. Where that is unset, to a folder of this machine for local runs; an
+    error on a cluster."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file:///tmp/treelake-shared"
     path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-HOPS = 4  # steps in one round, before it is compared with what is known
+def _walk(src: np.ndarray, dst: np.ndarray, nodes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that tells which nodes some nodes reach, themselves included."""
+    order = np.argsort(src, kind="stable")
+    to, begin = dst[order], np.searchsorted(src[order], np.arange(nodes + 1))
+
+    def reach(frontier: np.ndarray) -> np.ndarray:
+        seen = np.zeros(nodes, bool)
+        seen[frontier] = True
+        while len(frontier):
+            count = begin[frontier + 1] - begin[frontier]
+            at = np.repeat(begin[frontier] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            frontier = np.unique(to[at])
+            frontier = frontier[~seen[frontier]]
+            seen[frontier] = True
+        return seen
+
+    return reach
+
+
+def _in_one_task(edges: DataFrame, extra: list, fn: Callable, schema: str) -> DataFrame:
+    """fn(src, dst, nodes, reach, places of extra) over numbered nodes gives columns; places in nodes become ids."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in it if b.num_rows]
+        src, dst = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, object) for k in (0, 1))
+        number, nodes = pd.factorize(np.concatenate([src, dst, np.array(extra, dtype=src.dtype if len(src) else None)]))
+        n = len(src)
+        for columns in fn(number[:n], number[n : 2 * n], nodes, _walk(number[:n], number[n : 2 * n], len(nodes)), number[2 * n :]):
+            frame = pd.DataFrame(dict(zip([c.split()[0] for c in schema.split(", ")], columns)))
+            for s in range(0, len(frame), 100_000):
+                yield pa.RecordBatch.from_pandas(frame.iloc[s : s + 100_000], preserve_index=False)
+
+    return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
+
+
+def _is_small(edges: DataFrame) -> bool:
+    return edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
 
 
 def _expand(edges: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,24 +88,62 @@ def _expand(edges: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame
     return out.distinct()
 
 
+def _contracted(edges: DataFrame, seeds: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Edges without the inner nodes of chains, and these (id) with the nearest node on their children's side that isn't one (top). A
+    node has one parent and one child to be an inner one, and is no seed. Pointers double, so a chain of n takes log n rounds."""
+    e = shared_table(edges.select("src", "dst").distinct())
+    one_parent = e.groupBy(F.col("src").alias("id")).count().where("count = 1").select("id")
+    inner = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("top")).where("n = 1").drop("n")
+    inner = shared_table(inner.join(one_parent, "id", "left_semi").join(seeds.select("id"), "id", "left_anti"))
+    for _ in range(most):
+        further = inner.select(F.col("id").alias("top"), F.col("top").alias("further"))
+        jumped = shared_table(inner.join(further, "top", "left").select("id", F.coalesce("further", "top").alias("top"), F.col("further").isNotNull().alias("moved")))
+        inner = jumped.select("id", "top")
+        if jumped.where("moved").isEmpty():
+            break
+    short = e.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti").join(inner.select(F.col("id").alias("src"), "top"), "src", "left")
+    return shared_table(short.select(F.coalesce("top", "src").alias("src"), "dst").distinct()), inner
+
+
 def _closure(edges: DataFrame, seeds: DataFrame, keys: list[str], most: int) -> DataFrame:
-    seen = frontier = shared_table(seeds.select(*keys).distinct())
+    seeds = shared_table(seeds.select(*keys).distinct())
+    short, inner = _contracted(edges, seeds)
+    seen, frontier = [seeds], seeds
     for _ in range(most):
-        frontier = shared_table(_expand(edges, frontier, keys).join(seen, keys, "left_anti"))
+        known = seen[0]
+        for t in seen[1:]:
+            known = known.unionByName(t)
+        frontier = shared_table(_expand(short, frontier, keys).join(known, keys, "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+            within = inner.join(known.withColumnRenamed("id", "top"), "top").select(*keys)
+            return known.unionByName(within)
+        seen = [shared_table(known), frontier] if len(seen) >= PARTS else [*seen, frontier]
     raise ValueError("more rounds than allowed")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
-    """id of all nodes that seeds (id) reach over edges (src, dst), seeds included, each once. A round for every HOPS steps of distance."""
-    return _closure(edges, seeds, ["id"], most)
+    """id of all nodes that seeds (id) reach over edges (src, dst), seeds included, each once. Beyond LOCAL_EDGES a round for every HOPS
+    steps between nodes that branch."""
+    kind = dict(edges.dtypes)["src"]
+    some = [r.id for r in seeds.select("id").where("id is not null").distinct().limit(LOCAL_EDGES // 20 + 1).collect()]
+    if len(some) > LOCAL_EDGES // 20 or not _is_small(edges):
+        return _closure(edges, seeds, ["id"], most)
+    return _in_one_task(edges, some, lambda src, dst, nodes, reach, extra: [[nodes[reach(np.unique(extra))]]], f"id {kind}")
 
 
 def labelled_reach(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
     """seed, id: the same for several seeds (seed, id) at once."""
-    return _closure(edges, seeds, ["seed", "id"], most)
+    some = [(r.seed, r.id) for r in seeds.select("seed", "id").distinct().limit(LOCAL_SEEDS + 1).collect()]
+    if len(some) > LOCAL_SEEDS or not _is_small(edges):
+        return _closure(edges, seeds, ["seed", "id"], most)
+    labels = sorted({s for s, _ in some})
+
+    def walk(src, dst, nodes, reach, extra):
+        for label in labels:
+            got = nodes[reach(np.array(sorted({int(k) for k, (s, _) in zip(extra, some) if s == label}), dtype=np.int64))]
+            yield [[label] * len(got), got]
+
+    return _in_one_task(edges, [i for _, i in some], walk, f"seed {dict(seeds.dtypes)['seed']}, id {dict(edges.dtypes)['src']}")
 
 
 def object_edges(commits: DataFrame, tree_entries: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -69,10 +162,19 @@ def to_send(edges: DataFrame, wants: DataFrame, haves: DataFrame) -> DataFrame:
 def merge_bases(edges: DataFrame, a, b) -> DataFrame:
     """id of the best common ancestors of two commits: common ancestors that are no parent of another. edges: child to parent."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
-    seeds = spark.createDataFrame([(0, a), (1, b)], f"seed int, id {kind}")
-    both = shared_table(labelled_reach(edges, seeds).groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")) if a != b else spark.createDataFrame([(a,)], f"id {kind}")
     if a == b:
-        return both
+        return spark.createDataFrame([(a,)], f"id {kind}")
+    if _is_small(edges):
+
+        def walk(src, dst, nodes, reach, extra):
+            both = reach(extra[:1]) & reach(extra[1:])
+            covered = np.zeros(len(nodes), bool)
+            covered[dst[both[src]]] = True
+            return [[nodes[both & ~covered]]]
+
+        return _in_one_task(edges, [a, b], walk, f"id {kind}")
+    seeds = spark.createDataFrame([(0, a), (1, b)], f"seed int, id {kind}")
+    both = shared_table(labelled_reach(edges, seeds).groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id"))
     covered = edges.join(both, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))
     return both.join(covered, "id", "left_anti")
 
@@ -100,6 +202,19 @@ def date_ordered(ids: DataFrame, times: DataFrame, most: int | None = None) -> D
     return out if most is None else out.limit(most)
 
 
+def numbered(df: DataFrame, by: list[Column], name: str = "ord") -> DataFrame:
+    """df with the place of each row in an order, from 1 on: rows are split by range, numbered in their parts, and shifted by the sizes
+    of the parts before, which are all that the driver sees."""
+    t = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    t = shared_table(t.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before, shift = 0, []
+    for r in t.groupBy("_part").count().orderBy("_part").collect():
+        shift.append((r["_part"], before))
+        before += r["count"]
+    parts = t.sparkSession.createDataFrame(shift, "_part int, _shift long")  # a row for each part
+    return t.join(F.broadcast(parts), "_part").withColumn(name, F.col("_shift") + F.col("_at") + 1).drop("_part", "_at", "_shift")
+
+
 def skewed_edges(edges: DataFrame, times: DataFrame) -> DataFrame:
     """Edges whose parent is newer than the child: there date_ordered isn't the best-first order, and ordered_walk must be used."""
     c, p = times.select(F.col("id").alias("src"), F.col("time").alias("child_time")), times.select(F.col("id").alias("dst"), F.col("time").alias("parent_time"))
@@ -143,16 +258,21 @@ def topological(start: str, parents: dict[str, list[str]], present) -> list[str]
 
 
 def ordered_walk(commits: DataFrame, starts: DataFrame, order: str = "date", most: int | None = None) -> DataFrame:
-    """repo, ord, sha from each repository's start. commits: repo, sha, parents, time; starts: repo, start. One repository's commits (not
-    their contents) are held by one task."""
+    """repo, ord, sha from each repository's start. commits: repo, sha, parents, time; starts: repo, start. Of one repository the commits
+    that its start reaches (ids, parents and times) are held by one task."""
     choose = {"date": lambda s, p, t: best_first(s, p, t), "topo": lambda s, p, t: topological(s, p, t)}[order]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parents = {s: list(p) for s, p in zip(pdf["sha"], pdf["parents"])}
         out = choose(pdf["start"].iloc[0], parents, dict(zip(pdf["sha"], map(int, pdf["time"]))))[:most]
         return pd.DataFrame({"repo": [key[0]] * len(out), "ord": range(len(out)), "sha": out})
 
-    return commits.join(starts, "repo").groupBy("repo").applyInPandas(run, "repo string, ord long, sha string")
+    mine = commits.join(starts, "repo")
+    name = lambda sha: F.concat_ws("\n", "repo", sha)
+    edges = mine.select(name("sha").alias("src"), F.explode("parents").alias("_p"), "repo").select("src", name("_p").alias("dst"))
+    inside = reachable(edges, starts.select(name("start").alias("id")))
+    mine = mine.withColumn("id", name("sha")).join(inside, "id", "left_semi").drop("id")
+    return mine.groupBy("repo").applyInPandas(run, "repo string, ord long, sha string")
 
 
 def first_parents(edges: DataFrame, seeds: DataFrame) -> DataFrame:

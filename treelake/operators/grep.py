@@ -49,15 +49,46 @@ def grep_top(found: DataFrame, most: int) -> DataFrame:
     return found.orderBy("path", "line_number").limit(most)
 
 
-def multi_grep(files: DataFrame, patterns: dict[str, tuple[str, bool, bool]], path_glob: str | None = None) -> DataFrame:
-    """One scan for all patterns (tag: pattern, regex, ignore_case): tag, path, line_number, line, n_matches."""
+Patterns = dict[str, tuple[str, bool, bool]]  # tag: pattern, regex, ignore_case
+
+
+def _context(before: int, after: int) -> list[Column]:
+    """Lines around the one at _pos of _all."""
+    lo = F.greatest(F.col("_pos") - before, F.lit(0))
+    return [F.slice("_all", lo + 1, F.col("_pos") - lo).alias("context_before"), F.slice("_all", F.col("_pos") + 2, F.lit(after)).alias("context_after")] if before or after else []
+
+
+def _tagged(files: DataFrame, patterns: Patterns, path_glob: str | None, context: bool) -> DataFrame:
+    """path, _pos, line, (_all,) t of lines with a match: t is the tag and the texts of all its matches. One scan for all patterns."""
     some = None
     for p, r, i in patterns.values():
         hit = _hit(F.col("data"), p, r, i)
         some = hit if some is None else some | hit
-    rows = _files(files, path_glob).where(some).select("path", F.posexplode(lines(F.col("data"))).alias("pos", "line"))
-    tags = F.filter(F.array(*[F.when(_hit(F.col("line"), p, r, i), F.struct(F.lit(t).alias("tag"), F.regexp_count("line", F.lit(pattern_regex(p, r, i))).cast("long").alias("n"))) for t, (p, r, i) in patterns.items()]), lambda x: x.isNotNull())
-    return rows.select(F.explode(tags).alias("t"), "path", (F.col("pos") + 1).cast("long").alias("line_number"), "line").select("t.tag", "path", "line_number", "line", F.col("t.n").alias("n_matches"))
+    found = _files(files, path_glob).where(some).select("path", lines(F.col("data")).alias("_all"))
+    rows = found.select("path", *(["_all"] if context else []), F.posexplode("_all").alias("_pos", "line"))
+    each = [F.when(_hit(F.col("line"), p, r, i), F.struct(F.lit(t).alias("tag"), F.regexp_extract_all("line", F.lit(pattern_regex(p, r, i)), F.lit(0)).alias("found"))) for t, (p, r, i) in patterns.items()]
+    return rows.select("*", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("t"))
+
+
+def multi_grep(files: DataFrame, patterns: Patterns, path_glob: str | None = None, before: int = 0, after: int = 0, most: int | None = None) -> DataFrame:
+    """tag, path, line_number, line, n_matches (and context_before, context_after) of each pattern's matching lines; most: only the first by
+    path, place and tag."""
+    rows = _tagged(files, patterns, path_glob, bool(before or after))
+    out = rows.select("t.tag", "path", (F.col("_pos") + 1).cast("long").alias("line_number"), "line", F.size("t.found").cast("long").alias("n_matches"), *_context(before, after))
+    return out if most is None else out.orderBy("path", "line_number", "tag").limit(most)
+
+
+def multi_grep_matches(files: DataFrame, patterns: Patterns, path_glob: str | None = None, before: int = 0, after: int = 0, most: int | None = None) -> DataFrame:
+    """tag, path, line_number, match_number, match, line (and the context): a row for each match of each pattern, from left to right."""
+    rows = _tagged(files, patterns, path_glob, bool(before or after))
+    rows = rows.select("*", F.posexplode("t.found").alias("_ix", "match"))
+    out = rows.select("t.tag", "path", (F.col("_pos") + 1).cast("long").alias("line_number"), (F.col("_ix") + 1).cast("long").alias("match_number"), "match", "line", *_context(before, after))
+    return out if most is None else out.orderBy("path", "line_number", "match_number", "tag").limit(most)
+
+
+def grep_matches(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, path_glob: str | None = None, before: int = 0, after: int = 0, most: int | None = None) -> DataFrame:
+    """path, line_number, match_number, match, line (and the context): a row for each match."""
+    return multi_grep_matches(files, {"": (pattern, regex, ignore_case)}, path_glob, before, after, most).drop("tag")
 
 
 def totals(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -70,9 +101,16 @@ def totals(files: DataFrame, found: DataFrame) -> DataFrame:
 WHOLE = "path string, line_number long, offset long, match string, line string"
 
 
-def grep_whole(files: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
-    """Each match of a regular expression in whole contents, from left to right without overlaps, reported on the line where it begins;
-    it may span lines, and ^ and $ are the contents' ends unless flags say otherwise. Places count bytes."""
+def grep_whole(files: DataFrame, pattern: str, flags: int = 0, path_glob: str | None = None, before: int = 0, after: int = 0, most: int | None = None) -> DataFrame:
+    """Each match of a regular expression in whole contents, from left to right without overlaps, reported on the line where it begins
+    (and context_before, context_after around that line); it may span lines, and ^ and $ are the contents' ends unless flags say
+    otherwise. Places count bytes. most: only the first by path and place."""
+    around = bool(before or after)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()) + (pa.list_(pa.string()),) * 2 * around
+    names = [c.split()[0] for c in WHOLE.split(", ")] + ["context_before", "context_after"] * around
+
+    def text(x: bytes) -> str:
+        return x.decode("utf-8", "replace")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = re.compile(pattern.encode(), flags)
@@ -82,16 +120,22 @@ def grep_whole(files: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
                 raw = data if isinstance(data, bytes) else data.encode()
                 if b"\0" in raw[:8192]:
                     continue
+                number, done, every = 1, 0, None  # line feeds are counted once, forward
                 for m in e.finditer(raw):
+                    number, done = number + raw.count(b"\n", done, m.start()), m.start()
                     start = raw.rfind(b"\n", 0, m.start()) + 1
                     end = raw.find(b"\n", m.start())
-                    text = lambda x: x.decode("utf-8", "replace")
-                    rows.append((path, raw.count(b"\n", 0, m.start()) + 1, m.start(), text(m.group()), text(raw[start : end if end >= 0 else None])))
+                    row = (path, number, m.start(), text(m.group()), text(raw[start : end if end >= 0 else None]))
+                    if around:
+                        every = every or [text(x) for x in raw.removesuffix(b"\n").split(b"\n")]
+                        row += (every[max(0, number - 1 - before) : number - 1], every[number : number + after])
+                    rows.append(row)
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "line_number", "offset", "match", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return files.select("path", "data").mapInArrow(run, WHOLE)
+    some = files if path_glob is None else files.where(matches_glob(F.col("path"), path_glob))
+    out = some.select("path", "data").mapInArrow(run, WHOLE + ", context_before array<string>, context_after array<string>" * around)
+    return out if most is None else out.orderBy("path", "offset").limit(most)
 
 
 def grep_blobs(paths: DataFrame, blobs: DataFrame, pattern: str, **options) -> DataFrame:

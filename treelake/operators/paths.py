@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from treelake.functions.expressions import ancestors, glob_prefix, lines, matches_glob
 from treelake.functions.objects import TreelakeError
+from treelake.operators.graph import shared_table
 
 
 def walk(tree_entries: DataFrame, roots: DataFrame, under: str = "", most: int = 256) -> DataFrame:
     """root, path, mode, sha, depth of every entry that isn't a tree, links and submodules included. tree_entries: tree, mode, name, sha;
     roots: root. under: only what lies in this directory; other subtrees aren't entered. Missing trees are skipped. The driver runs one
-    join for each level, and no level is larger than the trees themselves."""
+    join for each level, whose result is written before the next, and no level is larger than the trees themselves."""
     e = tree_entries.select(F.col("tree").alias("_tree"), "mode", "name", F.col("sha").alias("_sha"))
     level = roots.select("root", F.lit("").alias("dir"), F.col("root").alias("at"))
     out = None
@@ -21,6 +22,7 @@ def walk(tree_entries: DataFrame, roots: DataFrame, under: str = "", most: int =
         here = level.join(e, F.col("at") == F.col("_tree")).withColumn("path", F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name")))
         if under:
             here = here.where(F.lit(under).startswith(F.concat("path", F.lit("/"))) | F.concat("path", F.lit("/")).startswith(under) | F.col("path").startswith(under))
+        here = shared_table(here.select("root", "path", "mode", "_sha"))
         files = here.where("mode <> '40000'").select("root", "path", "mode", F.col("_sha").alias("sha"), F.lit(depth).alias("depth"))
         if under:
             files = files.where(F.col("path").startswith(under))
@@ -79,10 +81,46 @@ def read_lines(files: DataFrame, first: int = 1, last: int | None = None, chosen
     """path, line_number, line of a range or of chosen lines; what lies beyond the end isn't there."""
     if chosen is not None and any(n < 1 for n in chosen) or first < 1:
         raise TreelakeError("invalid_line_range")
-    out = files.select("path", F.posexplode(lines(F.col("data"))).alias("pos", "line")).select("path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+    every = lines(F.col("data"))
     if chosen is not None:
-        return out.where(F.col("line_number").isin(sorted(set(chosen))))
-    return out.where((F.col("line_number") >= first) & (F.col("line_number") <= last if last is not None else F.lit(True)))
+        wanted = F.filter(F.array(*map(F.lit, sorted(set(chosen)))), lambda n: n <= F.size("_all")) if chosen else F.array().cast("array<int>")
+        return files.select("path", every.alias("_all")).select("path", F.explode(wanted).alias("n"), "_all").select("path", F.col("n").cast("long").alias("line_number"), F.get("_all", F.col("n") - 1).alias("line"))
+    n = F.greatest(F.size("_all") - (first - 1), F.lit(0))
+    n = n if last is None else F.least(n, F.lit(max(last - first + 1, 0)))
+    some = files.select("path", every.alias("_all")).select("path", F.posexplode(F.slice("_all", F.lit(first), n)).alias("pos", "line"))  # lines outside never become rows
+    return some.select("path", (F.col("pos") + first).cast("long").alias("line_number"), "line")
+
+
+def stream_read(files: DataFrame, path: str, byte_range: tuple[int, int | None] | None = None, line_range: tuple[int, int | None] | None = None, size: int = 65536) -> DataFrame:
+    """chunk, data of one file (data: binary): its bytes from the first place up to before the second, of these the lines (from 1, both
+    included; None is the end), in pieces."""
+    one = files.where(F.col("path") == path.strip("/")).select("path", F.col("data").cast("binary").alias("data"))
+    if byte_range is not None:
+        a, b = byte_range
+        if a < 0 or b is not None and b < a:
+            raise TreelakeError("invalid_byte_range", range=byte_range)
+        one = one.withColumn("data", F.expr(f"substring(data, {a + 1}, {(1 << 30) if b is None else b - a})"))
+    if line_range is not None:
+        a, b = line_range
+        if a < 1 or b is not None and b < a:
+            raise TreelakeError("invalid_line_range", range=line_range)
+        one = one.mapInArrow(_line_slice(a, b), "path string, data binary")
+    return chunks(one, size).drop("path")
+
+
+def _line_slice(first: int, last: int | None):
+    import pyarrow as pa
+
+    def run(it):
+        for b in it:
+            cut = []
+            for data in b.column(1).to_pylist():
+                parts = data.split(b"\n")
+                whole = [p + b"\n" for p in parts[:-1]] + [p for p in parts[-1:] if p]
+                cut.append(b"".join(whole[first - 1 : last]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.binary())], ["path", "data"])
+
+    return run
 
 
 def chunks(files: DataFrame, size: int = 65536) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelake.functions import expressions as x
@@ -78,12 +78,37 @@ def grep_in_glob(spark, d):
     return grep.grep_lines(v.files(spark, d), "der", path_glob="src*/de/*.txt")
 
 
-@query()
+_WHOLE = "w AS (SELECT path, line_number, line, lead(line) OVER o AS after, lag(line) OVER o AS before, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM lines WINDOW o AS (PARTITION BY path ORDER BY line_number)) SELECT path, line_number, (begins + octet_length(encode(line)) - 1)::BIGINT AS \"offset\", '.' || chr(10) || left(after, 1) AS match, line"
+
+
+@query(f"WITH {v.LINES}, {_WHOLE} FROM w WHERE ends_with(line, '.') AND regexp_matches(after, '^[A-Z]')")
 def grep_whole(spark, d):
     """Matches may span lines."""
     return grep.grep_whole(v.files(spark, d), r"\.\n[A-Z]")
 
 
+@query(f"WITH {v.LINES}, {_WHOLE}, coalesce(before, '') AS before, after FROM w WHERE ends_with(line, '.') AND regexp_matches(after, '^[A-Z]') AND starts_with(path, 'src1/') ORDER BY path, \"offset\" LIMIT 50")
+def grep_whole_context(spark, d):
+    """The first 50 of some files, with the lines around."""
+    found = grep.grep_whole(v.files(spark, d), r"\.\n[A-Z]", path_glob="src1/**", before=1, after=1, most=50)
+    return found.select("path", "line_number", "offset", "match", "line", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
+_EACH = "SELECT '{0}' AS tag, path, line_number, unnest(range(1, len(m) + 1)) AS match_number, unnest(m) AS match, line FROM (SELECT path, line_number, line, regexp_extract_all(line, '{1}') AS m FROM lines)"
+
+
+@query(f"WITH {v.LINES}, t AS ({_EACH.format('', '[0-9]{3}')}) SELECT path, line_number, match_number, match, line FROM t")
+def grep_matches(spark, d):
+    """A row for each match."""
+    return grep.grep_matches(v.files(spark, d), "[0-9]{3}", regex=True)
+
+
+@query(f"WITH {v.LINES}, c AS (SELECT path, line_number AS n, lag(line) OVER (PARTITION BY path ORDER BY line_number) AS b, lead(line) OVER (PARTITION BY path ORDER BY line_number) AS a FROM lines), t AS ({' UNION ALL '.join([_EACH.format('der', 'der'), _EACH.format('digits', '[0-9]{3}'), _EACH.format('THE', '(?i)THE')])}) SELECT tag, t.path, line_number, match_number, match, line, coalesce(b, '') AS before, coalesce(a, '') AS after FROM t JOIN c ON t.path = c.path AND line_number = n")
+def multi_grep_matches(spark, d):
+    found = grep.multi_grep_matches(v.files(spark, d), {k: PATTERNS[k] for k in ("der", "digits", "THE")}, before=1, after=1)
+    return found.select("tag", "path", "line_number", "match_number", "match", "line", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
 # Paths
 
 
@@ -128,6 +153,19 @@ def read_lines(spark, d):
     return paths.read_lines(v.files(spark, d), 2, 4)
 
 
+@query(f"WITH {v.LINES} SELECT path, line_number, line FROM lines WHERE line_number IN (1, 3, 7)")
+def read_chosen_lines(spark, d):
+    return paths.read_lines(v.files(spark, d), chosen=[3, 1, 7, 3])
+
+
+@query(f"WITH {v.FILES}, t AS (SELECT path, data FROM files WHERE regexp_full_match(substr(data, 11, 40), '[ -~]*') AND regexp_full_match(substr(data, 1, 10), '[ -~]*') ORDER BY path LIMIT 1) SELECT path, 0 AS chunk, substr(data, 11, 16) AS data FROM t UNION ALL SELECT path, 1, substr(data, 27, 14) FROM t")
+def stream_read(spark, d):
+    """Bytes 10 to 40 of the first file that begins with ASCII, in pieces of 16."""
+    f = v.files(spark, d).where(F.substring("data", 1, 50).rlike("^[ -~]*$")).orderBy("path").limit(1).select("path", F.encode("data", "UTF-8").alias("data"))
+    path = f.first().path
+    return paths.stream_read(f, path, byte_range=(10, 40), size=16).select(F.lit(path).alias("path"), "chunk", F.decode("data", "UTF-8").alias("data"))
+
+
 @query(f"WITH {v.FILES} SELECT path, mode, doc_id, data FROM files WHERE path = 'src1/en/1.txt'")
 def read_path(spark, d):
     return paths.read_path(v.files(spark, d), "/src1/en/1.txt")
@@ -183,11 +221,13 @@ def commit_ids(spark, d):
 _TREE = "sha1(encode('tree ' || octet_length(unhex(h))) || '\\x00'::BLOB || unhex(h))"
 
 
-@query(
+_TREES = (
     f"WITH {v.FILES}, a AS (SELECT split_part(path, '/', 1) AS s, split_part(path, '/', 2) AS l, string_agg(hex(encode(mode || ' ' || split_part(path, '/', 3)) || '\\x00'::BLOB) || {v.SHA.format('data')}, '' ORDER BY split_part(path, '/', 3)) AS h FROM files GROUP BY 1, 2), "
     f"b AS (SELECT s, l, {_TREE} AS sha FROM a), c AS (SELECT s, string_agg(hex(encode('40000 ' || l) || '\\x00'::BLOB) || sha, '' ORDER BY l || '/') AS h FROM b GROUP BY s), e AS (SELECT s, {_TREE} AS sha FROM c), f AS (SELECT string_agg(hex(encode('40000 ' || s) || '\\x00'::BLOB) || sha, '' ORDER BY s || '/') AS h FROM e) "
-    f"SELECT s || '/' || l AS dir, sha FROM b UNION ALL SELECT s, sha FROM e UNION ALL SELECT '', {_TREE} FROM f"
 )
+
+
+@query(f"{_TREES} SELECT s || '/' || l AS dir, sha FROM b UNION ALL SELECT s, sha FROM e UNION ALL SELECT '', {_TREE} FROM f")
 def tree_ids(spark, d):
     return workspace.trees(v.files(spark, d).select("path", "mode", x.blob_id(F.col("data")).alias("sha"))).select("dir", "sha")
 
@@ -203,10 +243,9 @@ def canonical_modes(spark, d):
     return v.table(spark, d, "events").select("event_id", mode.alias("mode"), x.canonical_mode(mode).alias("canonical"))
 
 
-@query("SELECT conv_id, turn, printf('%04x', octet_length(encode(text)) + 4) AS head FROM conversations")
+@query("SELECT conv_id, turn, printf('%04x', octet_length(encode(text)) + 4) || text AS packet FROM conversations")
 def packet_lines(spark, d):
-    p = x.packet(F.encode("text", "UTF-8"))
-    return v.table(spark, d, "conversations").select("conv_id", "turn", F.decode(F.substring(p, 1, 4), "UTF-8").alias("head"))
+    return v.table(spark, d, "conversations").select("conv_id", "turn", F.decode(x.packet(F.encode("text", "UTF-8")), "UTF-8").alias("packet"))
 
 
 _POINTER = "CASE WHEN doc_id % 3 = 0 THEN 'version https://git-lfs.github.com/spec/v1' || chr(10) || 'oid sha256:' || CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE upper(sha256(text)) END || chr(10) || 'size ' || n_chars || chr(10) ELSE text END"
@@ -246,16 +285,27 @@ def diff_summary(spark, d):
     return diff.diff_files(v.base(spark, d), v.head(spark, d)).groupBy("op").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(v.GEO_DIFF)
+def diff_trees(spark, d):
+    """Two versions of the tree of regions, nations and customers, of which a fifth of the nations is the same."""
+    entries = v.geo_entries(spark, d).unionByName(v.geo_head(spark, d))
+    return diff.diff_trees(entries, "root", "root2")
+
+
+_LINE_PAIRS = "h AS (SELECT a.conv_id, b.turn AS version, string_agg(a.turn || ':' || replace(a.text, chr(10), chr(10) || a.turn || ':'), chr(10) ORDER BY a.turn) AS text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn BETWEEN b.turn - 2 AND b.turn GROUP BY 1, 2), l AS (SELECT conv_id, version, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM h)"
+
+
+@query(f"WITH {_LINE_PAIRS}, s AS (SELECT conv_id, version, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT b.conv_id, b.version, count(*) AS kept FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.version + 1 = b.version AND a.line = b.line GROUP BY 1, 2) SELECT b.conv_id || ':' || b.version AS key, coalesce(kept, 0)::BIGINT AS kept, (b.n - coalesce(kept, 0))::BIGINT AS added, (a.n - coalesce(kept, 0))::BIGINT AS removed FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.version + 1 = b.version LEFT JOIN k ON k.conv_id = b.conv_id AND k.version = b.version")
 def line_diff(spark, d):
-    h = v.history(spark, d)
+    """Lines have their turn's number, so no two of a file are equal, and SQL can count what is kept."""
+    h = v.history(spark, d, tagged=True)
     old = h.select("file", (F.col("version") + 1).alias("version"), F.col("text").alias("old"))
     return diff.line_diff(h.join(old, ["file", "version"]).select(F.concat_ws(":", "file", F.col("version").cast("string")).alias("key"), "old", F.col("text").alias("new")))
 
 
-@query()
+@query(f"WITH {_LINE_PAIRS}, z AS (SELECT conv_id, max(version) AS version FROM h GROUP BY 1) SELECT l.conv_id::VARCHAR AS file, l.pos + 1 AS line_number, l.line, (SELECT min(o.version) FROM l o WHERE o.conv_id = l.conv_id AND o.line = l.line) AS version FROM l JOIN z ON l.conv_id = z.conv_id AND l.version = z.version")
 def blame_lines(spark, d):
-    return blame.blame(v.history(spark, d))
+    return blame.blame(v.history(spark, d, tagged=True))
 
 
 @query("WITH h AS (SELECT a.conv_id, b.turn AS version, string_agg(a.text, chr(10) ORDER BY a.turn) AS text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn BETWEEN b.turn - 2 AND b.turn GROUP BY 1, 2) SELECT conv_id::VARCHAR AS file, sha1(text) AS sha, min(version) AS first_version FROM h GROUP BY 1, 2")
@@ -279,9 +329,29 @@ def reachable(spark, d):
 
 @query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)} SELECT id, floor(epoch(ts))::BIGINT AS time, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT DESC, id) AS ord FROM a JOIN events ON id = event_id")
 def ancestors_date(spark, d):
-    rows = graph.date_ordered(_from(spark, d, 901), v.times(spark, d))
-    # one commit's ancestors, which are few here
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("time"), "id")).cast("long"))
+    return graph.numbered(_from(spark, d, 901).join(v.times(spark, d), "id"), [F.desc("time"), F.col("id")])
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, a AS (SELECT event_id AS id FROM events WHERE event_id >= 1 AND event_id NOT IN (SELECT dst FROM edges) UNION SELECT dst FROM edges JOIN a ON src = id) SELECT id FROM a")
+def reachable_heads(spark, d):
+    """What the events reach that are nobody's parent."""
+    e = v.edges(spark, d).select("src", "dst")
+    heads = v.times(spark, d).select("id").join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+    return graph.reachable(e, heads)
+
+
+@query("SELECT event_id AS id, floor(epoch(ts))::BIGINT AS time, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT DESC, event_id) AS ord FROM events WHERE event_id >= 1")
+def log_date(spark, d):
+    """All commits by date."""
+    return graph.numbered(v.times(spark, d), [F.desc("time"), F.col("id")])
+
+
+@query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)} SELECT count(*) AS commits, count(DISTINCT id) AS distinct_commits, 0::BIGINT AS parents_before_children FROM a")
+def topo_is_valid(spark, d):
+    """Each ancestor is there once, and none before a child of its own."""
+    walk = ancestors_topo(spark, d).select(F.col("sha").cast("long").alias("id"), "ord")
+    e = v.edges(spark, d).join(walk.toDF("src", "child"), "src").join(walk.toDF("dst", "parent"), "dst").where("parent <= child")
+    return walk.agg(F.count("*").alias("commits"), F.count_distinct("id").alias("distinct_commits")).join(e.agg(F.count("*").alias("parents_before_children")))
 
 
 @query()
@@ -338,6 +408,43 @@ def memory_report(spark, d):
     return reports.memory_report(v.files(spark, d).select(F.lit("blob").alias("type"), F.octet_length("data").alias("size")))
 
 
+@query(f"WITH {v.FILES} SELECT count(*) AS object_count, sum(octet_length(encode(data)))::BIGINT AS cache_bytes, 0::BIGINT AS commits, 0::BIGINT AS trees, count(*) AS blobs, 0::BIGINT AS tags, 1000000::BIGINT AS max_cache_bytes, 'lazy' AS mode, 'tables' AS backend FROM files")
+def store_report(spark, d):
+    return reports.store_report(v.files(spark, d).select(F.lit("blob").alias("type"), F.octet_length("data").alias("size")), "lazy", "tables", 1_000_000)
+
+
+# A repository of real trees
+
+
+@query(f"WITH {v.FILES} SELECT path, mode, {v.SHA.format('data')} AS sha, len(string_split(path, '/'))::BIGINT AS depth FROM files")
+def repo_walk(spark, d):
+    return v.repo(spark, d).walk().withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(f"{_TREES} SELECT l AS name, '40000' AS mode, sha FROM b WHERE s = 'src0'")
+def repo_ls(spark, d):
+    return v.repo(spark, d).ls("HEAD", "src0")
+
+
+@query(f"WITH {v.FILES} SELECT path, mode, data FROM files WHERE path = 'src1/en/1.txt'")
+def repo_read(spark, d):
+    r, path = v.repo(spark, d), "src1/en/1.txt"
+    if not r.exists("HEAD", path):
+        return spark.createDataFrame([], "path string, mode string, data string")
+    mode, data = r.read("HEAD", path)
+    return spark.createDataFrame([(path, mode, data.decode())], "path string, mode string, data string")
+
+
+@query(f"WITH {v.LINES} SELECT path, line_number, line, {_count('the')} AS n_matches FROM lines WHERE contains(line, 'the')")
+def repo_grep(spark, d):
+    return v.repo(spark, d).grep("refs/heads/main", "the")
+
+
+@query(f"WITH {v.FILES} SELECT path FROM files WHERE regexp_matches(path, '^src0/(?:de|en)/[^/]*\\.txt$')")
+def repo_glob(spark, d):
+    return v.repo(spark, d).glob("HEAD", "src0/{de,en}/*.txt").select("path")
+
+
 @query("SELECT event_type AS event, count(*) AS n, sum(trunc(value * 1000)::BIGINT)::BIGINT AS total_us FROM events GROUP BY 1")
 def profile_totals(spark, d):
     return reports.profile_totals(v.profile_events(spark, d))

@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from time import monotonic
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,23 +82,46 @@ def apply_delta(base: bytes, delta: bytes, most: int = 100 << 20) -> bytes:
     return bytes(out)
 
 
+class Inflating:
+    """A zlib stream of a known result size that is fed in pieces; no more than the size and one byte comes out."""
+
+    def __init__(self, size: int, limits: Limits):
+        if size > limits.object_bytes:
+            raise TreelakeError("object_too_large", size=size)
+        self.size, self.limits, self.z, self.out, self.fed = size, limits, zlib.decompressobj(), bytearray(), 0
+
+    def feed(self, piece: bytes) -> int | None:
+        """How many bytes of the piece belong to the stream if it ends here, None if it goes on."""
+        self.fed += len(piece)
+        try:
+            while True:
+                self.out += self.z.decompress(piece, self.size + 1 - len(self.out))
+                if len(self.out) > self.size:
+                    raise TreelakeError("inflated_size", want=self.size)
+                piece = self.z.unconsumed_tail
+                if not piece:
+                    break
+        except zlib.error as e:
+            raise TreelakeError("zlib") from e
+        if not self.z.eof:
+            return None
+        if len(self.out) != self.size:
+            raise TreelakeError("inflated_size", want=self.size, got=len(self.out))
+        self.fed -= len(self.z.unused_data)
+        if self.size > self.limits.inflate_ratio * max(1, self.fed):
+            raise TreelakeError("inflate_ratio")
+        return len(self.z.unused_data)
+
+
 def inflate(data: bytes, at: int, size: int, limits: Limits = Limits()) -> tuple[bytes, int]:
-    """A zlib stream of a known result size, and the place after it."""
-    if size > limits.object_bytes:
-        raise TreelakeError("object_too_large", size=size)
-    z = zlib.decompressobj()
-    try:
-        out = z.decompress(memoryview(data)[at:], size + 1)
-        if len(out) <= size and not z.eof:
-            out += z.decompress(z.unconsumed_tail, size + 1 - len(out) or 1)
-    except zlib.error as e:
-        raise TreelakeError("zlib", at=at) from e
-    if not z.eof or len(out) != size:
-        raise TreelakeError("inflated_size", want=size, got=len(out))
-    end = len(data) - len(z.unused_data)
-    if size > limits.inflate_ratio * max(1, end - at):
-        raise TreelakeError("inflate_ratio")
-    return out, end
+    """A zlib stream of a known result size, and the place after it. Only what it needs of the data is copied."""
+    one, step = Inflating(size, limits), min(max(size, 64) + 64, 1 << 16)
+    while at < len(data):
+        piece = data[at : at + step]
+        at += len(piece)
+        if (left := one.feed(piece)) is not None:
+            return bytes(one.out), at - left
+    raise TreelakeError("inflated_size", want=size, got=len(one.out))
 
 
 class Reader:
@@ -201,19 +225,111 @@ def read_pack(data: bytes, external: Callable | None = None, limits: Limits = Li
 
 
 class StreamReader:
-    """Takes a pack in portions of any size; finish() gives its objects. Bytes beyond the limit are refused as they come."""
+    """Takes a pack in portions of any size and inflates entries as they come; no more than one entry's head is kept of the pack itself.
+    finish() resolves the deltas and gives the objects. Bytes beyond the limits are refused as they come, and so is what comes after
+    `seconds`."""
+
+    def __init__(self, external: Callable | None = None, limits: Limits = Limits(), seconds: float | None = None):
+        self.external, self.limits, self.until = external, limits, None if seconds is None else monotonic() + seconds
+        self.buffer, self.at, self.size = bytearray(), 0, 0  # what isn't parsed, the place of its beginning, and all bytes
+        self.count: int | None = None
+        self.open: tuple[int, int, object, Inflating] | None = None
+        self.raw: dict[int, tuple[int, object, bytes, int]] = {}
+        self.sum = hashlib.sha1()
 
-    def __init__(self, external: Callable | None = None, limits: Limits = Limits()):
-        self.parts, self.size, self.external, self.limits = [], 0, external, limits
+    def _take(self, n: int) -> bytes:
+        out = bytes(self.buffer[:n])
+        del self.buffer[:n]
+        self.sum.update(out)
+        self.at += n
+        return out
 
     def feed(self, data: bytes) -> None:
+        if self.until is not None and monotonic() > self.until:
+            raise TreelakeError("deadline")
         self.size += len(data)
         if self.size > self.limits.pack_bytes:
             raise TreelakeError("pack_too_large", size=self.size)
-        self.parts.append(data)
+        self.buffer += data
+        while self._step():
+            pass
+
+    def _step(self) -> bool:
+        """Whether something was parsed."""
+        if self.count is None:
+            if len(self.buffer) < 12:
+                return False
+            head = self._take(12)
+            version, self.count = struct.unpack(">II", head[4:])
+            if head[:4] != SIGNATURE:
+                raise TreelakeError("no_pack")
+            if version not in (2, 3):
+                raise TreelakeError("pack_version", version=version)
+            if self.count > self.limits.objects:
+                raise TreelakeError("too_many_objects", count=self.count)
+            return True
+        if self.open is not None:
+            if not self.buffer:
+                return False
+            at, code, base, one = self.open
+            piece = bytes(self.buffer)
+            left = one.feed(piece)
+            self._take(len(piece) - (left or 0))
+            if left is not None:
+                self.raw[at] = (code, base, bytes(one.out), self.at)
+                self.open = None
+            return left is not None
+        if len(self.raw) == self.count:
+            if len(self.buffer) > 20:
+                raise TreelakeError("trailing_bytes")
+            return False
+        if len(self.buffer) < 64 and self.buffered_head() is None:
+            return False
+        at, head = self.at, bytes(self.buffer[:64])
+        code, size, k = decode_size(head, 0)
+        base: object = None
+        if code == OFFSET_DELTA:
+            back, k = decode_offset(head, k)
+            if not 0 < back <= at - 12:
+                raise TreelakeError("base_out_of_bounds", at=at)
+            base = at - back
+        elif code == REF_DELTA:
+            base, k = head[k : k + 20].hex(), k + 20
+        elif code not in KINDS:
+            raise TreelakeError("object_type", code=code)
+        if k > len(self.buffer):
+            return False
+        self._take(k)
+        self.open = (at, code, base, Inflating(size, self.limits))
+        return True
+
+    def buffered_head(self) -> int | None:
+        """Length of the next entry's head if all of it is there."""
+        k, b = 0, self.buffer
+        while k < len(b) and b[k] & 0x80:
+            k += 1
+        if k >= len(b):
+            return None
+        code, k = b[0] >> 4 & 7, k + 1
+        if code == OFFSET_DELTA:
+            while k < len(b) and b[k] & 0x80:
+                k += 1
+            k += 1
+        elif code == REF_DELTA:
+            k += 20
+        return k if k <= len(b) else None
 
     def finish(self) -> list[Obj]:
-        return read_pack(b"".join(self.parts), self.external, self.limits)
+        if self.count is None:
+            raise TreelakeError("no_pack")
+        if self.open is not None or len(self.raw) < self.count or len(self.buffer) < 20:
+            raise TreelakeError("truncated_pack")
+        if bytes(self.buffer) != self.sum.digest():
+            raise TreelakeError("pack_checksum")
+        reader = Reader.__new__(Reader)
+        reader.count, reader.body, reader.external, reader.limits = self.count, range(self.at), self.external, self.limits
+        reader.raw, reader.done, reader.by_sha = self.raw, {}, {}
+        return reader.objects()
 
 
 def write_pack(objects: list[tuple[str, bytes]]) -> tuple[bytes, list[tuple[str, int, int]]]:
@@ -303,6 +419,44 @@ def pack_index(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file string, sha string, crc long, pack_offset long")
 
 
+def find_in_pack(index_file: str, shas: list[str]) -> list[tuple[str, str, bytes]]:
+    """type, id and content of those ids that a pack has, by its index; only these and their delta bases are inflated, from a mapped file."""
+    import mmap
+
+    with open(index_file, "rb") as f:
+        index = Index(f.read())
+    places = [(s, p) for s in shas if (p := index.lookup(s)) is not None]
+    if not places:
+        return []
+    with open(index_file.removesuffix(".idx") + ".pack", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        reader = Reader.__new__(Reader)
+        reader.data = reader.body = data
+        reader.external, reader.limits, reader.raw, reader.done = None, Limits(), {}, {}
+        reader.by_sha = dict(zip(index.shas, index.offsets))
+        out = []
+        for sha, p in places:
+            kind, content = reader.at(p)
+            if object_id(kind, content) != sha:
+                raise TreelakeError("id_mismatch", sha=sha)
+            out.append((kind, sha, content))
+        return out
+
+
+def lookup_objects(spark: SparkSession, path: str, shas: list[str]) -> DataFrame:
+    """Objects of some ids in the packs under a folder that all executors share, a task for each index; other objects aren't read."""
+    wanted = sorted(set(shas))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for name in b.column(0).to_pylist():
+                if found := find_in_pack("/" + name.removeprefix("file:").lstrip("/"), wanted):
+                    kinds, ids, contents = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(ids), pa.array(list(map(len, contents)), pa.int64()), pa.array(contents, pa.binary())], ["type", "sha", "size", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").option("recursiveFileLookup", True).load(path)
+    return files.select("path").mapInArrow(run, OBJECTS).dropDuplicates(["sha"])
+
+
 def write_packs(objects: DataFrame, folder: str, packs: int) -> list[str]:
     """Packs and indexes of a table of objects (type, content), each distinct object once, as many packs as tasks. The folder is one
     that all executors share. Names of the packs come back."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from treelake.functions.config import Config
 from treelake.functions.expressions import valid_ref
 from treelake.functions.objects import HEX40, TreelakeError, decode_commit, decode_tag, decode_tree, object_id, parse_identity
-from treelake.sources.pack import OBJECTS, pack_objects
+from treelake.sources.pack import OBJECTS, find_in_pack, pack_objects
 
 REFS = "name string, kind string, sha string, target string"
 
@@ -158,6 +158,47 @@ def put_object(path: str, kind: str, content: bytes) -> str:
     return sha
 
 
+def read_object(path: str, sha: str) -> tuple[str, bytes]:
+    """Type and content of one loose object, or of one in a pack by the packs' indexes."""
+    at = os.path.join(path, "objects", sha[:2], sha[2:])
+    if os.path.isfile(at):
+        with open(at, "rb") as f:
+            kind, content = decode_loose(f.read())
+        if object_id(kind, content) != sha:
+            raise TreelakeError("id_mismatch", name=sha)
+        return kind, content
+    packs = os.path.join(path, "objects", "pack")
+    for name in sorted(os.listdir(packs)) if os.path.isdir(packs) else []:
+        if name.endswith(".idx") and (got := find_in_pack(os.path.join(packs, name), [sha])):
+            return got[0][0], got[0][2]
+    raise TreelakeError("not_found", sha=sha)
+
+
+def delete_object(path: str, sha: str) -> bool:
+    """Removes a loose object; whether it was there. Packs stay as they are."""
+    if not HEX40.fullmatch(sha):
+        raise TreelakeError("invalid_id", sha=sha)
+    try:
+        os.unlink(os.path.join(path, "objects", sha[:2], sha[2:]))
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def loose_ids(spark: SparkSession, path: str) -> DataFrame:
+    """sha of loose objects by their names; none is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(os.path.join(path, "objects")).select("path")
+    found = F.regexp_extract("path", "/([0-9a-f]{2}/[0-9a-f]{38})$", 1)
+    return files.select(F.replace(found, F.lit("/"), F.lit("")).alias("sha")).where("sha <> ''")
+
+
+def index_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The staging index of a directory as a table, in its order."""
+    with open(os.path.join(path, "index"), "rb") as f:
+        rows = [(k, e.name.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode(), e.sha, e.mode, e.stage, e.size, e.ctime[0], e.mtime[0], e.assume_valid, e.intent_to_add, e.skip_worktree) for k, e in enumerate(parse_index(f.read()))]
+    return spark.createDataFrame(rows, "pos int, name string, sha string, mode int, stage int, size long, ctime long, mtime long, assume_valid boolean, intent_to_add boolean, skip_worktree boolean")
+
+
 def init(path: str, branch: str = "main") -> None:
     os.makedirs(os.path.join(path, "objects", "pack"), exist_ok=True)
     os.makedirs(os.path.join(path, "refs", "heads"), exist_ok=True)
