@@ -70,3 +70,44 @@ def test_run(spark):
     common.clear_scratch(spark)
     assert not any(os.path.isdir(p) for p in mine)
     assert out and len(corpus_pipeline.STAGES) == 5 and public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _tables(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, _uid string, spans long, _stay long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_tables(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeort") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    same, passage = prose(250), prose(60)
+    texts = {1: same, 2: same, 3: None, 4: "", 5: "short", 6: prose(80) + " mail a.b@c.org now", 7: prose(3000), 8: prose(60) + " " + passage + " " + prose(40), 9: prose(50) + " " + passage + " " + prose(70)}
+    rows = [(k, t, None if k % 2 else "en", "s", len(t or ""), f"u{k}", k, k) for k, t in texts.items()]
+    rows += [rows[0], rows[6], (None, prose(40), "en", None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    sf = _tables(spark, tmp_path / "odd", rows, [(1, 1, 0), (1, 0, 0), (None, 1, 0), (777, 1, 1)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = corpus_pipeline.quality(spark, docs, sf)
+    assert sorted(str(r.doc_id) for r in first.collect()) == sorted(map(str, [1, 1, 2, 6, 7, 7, 8, 9, None]))
+    second = corpus_pipeline.near_duplicates(spark, first, sf)
+    assert sorted(str(r.doc_id) for r in second.collect()) == sorted(map(str, [1, 6, 7, 8, 9, None]))
+    third = {r.doc_id: r for r in corpus_pipeline.long_repeats(spark, second, sf).collect()}
+    assert third[1].text == same and third[7].text == texts[7] and passage not in third[8].text and passage not in third[9].text
+    assert third[8].n_chars == len(third[8].text) and (third[8]._uid, third[8].spans, third[8]._stay) == ("u8", 8, 8)
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} == {1, 6, 7, 8, 9, None}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in out if r.doc_id == 7) == len(t.encode(texts[7], add_special_tokens=False).ids) + 1
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = _tables(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() == 0

@@ -599,3 +599,52 @@ def test_mpeg_tags_tables_and_free_format():
     first = (h + bytes(32) + table).ljust(417, b"\0")
     m = mpeg_audio.parse(first + (h + bytes(413)) * 4)
     assert m.vbr["points"] == [200, 420, 660] and m.vbr["frames_per_point"] == 4 and len(m.frames) == 4
+
+
+def test_words_of_the_vocabulary_equal_the_library():
+    """Texts of the vocabulary's own tokens, in any order, and of their halves."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BYTES, encoding="utf-8") as f:
+        vocab = [t.replace("Ġ", " ").replace("Ċ", "\n") for t in json.load(f)["model"]["vocab"]]
+    plain = [t for t in vocab if t.isprintable() or t.strip() == ""]
+    w, t, rng = WordTokenizer(BYTES), Tokenizer.from_file(BYTES), random.Random(12)
+    texts = ["".join(rng.choice(plain) for _ in range(8)) for _ in range(4000)] + ["".join(x[: rng.randrange(1, len(x) + 1)] for x in rng.sample(plain, 6)) for _ in range(4000)] + plain[::5]
+    got = w.encode(texts)
+    want = t.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(a, "<u4").tolist() for a in got] == [b.ids for b in want]
+
+
+def test_a_very_long_text(spark):
+    """A text of two million characters in 20,000 lines, and one of a single line, through every operator."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from treelake.llm import quality_crf, toxicity
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdeghilmnorstué") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    long = "\n".join(" ".join(rng.choice(words) for _ in range(16)) for _ in range(20_000))
+    line = " ".join(rng.choice(words) for _ in range(100_000))
+    docs = spark.createDataFrame([(1, long), (2, line), (3, long[:5000])], "doc_id long, text string").repartition(3)
+    texts = {1: long, 2: line, 3: long[:5000]}
+    labels = spark.createDataFrame([(k, 1, 0) for k in texts], "doc_id long, quality int, toxic int")
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
+    size = {k: len(t.encode(x, add_special_tokens=False).ids) + 1 for k, x in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in sentencepiece_codec.digests(docs, PIECES).collect()} == {k: len(sp.encode(x)) + 1 for k, x in texts.items()}
+    assert {r.doc_id: r.n_words for r in quality_rules.verdicts(docs, labels).collect()} == {k: len(x.split()) for k, x in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in token_store.store_and_read(docs, BYTES).collect()} == size
+    packed = Counter()
+    for r in packing.pack(docs, BYTES).collect():
+        packed[r.doc_id] += r.length
+    assert packed == size
+    got = {r.doc_id: r for r in suffix_dedup.digests(docs).collect()}
+    assert got[3].n_removed == got[3].n_bytes == len(texts[3].encode()) and got[1].n_removed == got[3].n_bytes and got[2].n_removed == 0
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()} == {k: f"{simhash.fingerprint(x):016x}" for k, x in texts.items()}
+    assert {r.doc_id: r.n_bytes for r in mpeg_audio.digests(docs).collect()} == {k: len(x.encode()) for k, x in texts.items()}
+    assert all(0 <= r.score <= 1 for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect())
+    crf = quality_crf.Crf(w=np.linspace(-0.1, 0.1, quality_crf.WIDTH), pair=np.eye(2), platt=(1.0, 0.0))
+    assert all(0 <= r.score <= 1 for r in quality_crf.scores(docs, crf).collect())
+    assert {r.doc_id: r.n_spans for r in pii.digests(docs, pii.fit(docs)).collect()} == dict.fromkeys(texts, 0)

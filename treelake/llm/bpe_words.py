@@ -19,11 +19,38 @@ import numpy as np
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "<|", "\0", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 #: Letters, perhaps after a space, and ASCII punctuation: each is one pre-token.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-PLAIN = re.compile(f"( ?[{LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+PLAIN = re.compile(f"( ?[{LETTERS}]+)([!-/:-@\\[-`{{-~]*)").fullmatch
 #: Words kept by a worker before its cache is emptied; longer ones aren't kept. Only speed depends on these.
 CACHE, CACHED_LENGTH, CHUNK = 500_000, 48, 3_000_000
 
 
+class Words(dict):
+    """Ids of words; a new word's are made when it is asked for. Of letters and punctuation after them both parts are pre-tokens."""
+
+    def __init__(self, piece, ids):
+        super().__init__({"": b""})
+        self.piece, self.ids = piece, ids
+        self.marks: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        m = PLAIN(word) if self.piece else None
+        if m is None:
+            out = self.ids([word])[0]
+        else:
+            a, b = m.groups()
+            if b:
+                if (y := self.marks.get(b)) is None:
+                    y = array("I", self.piece(b.encode())).tobytes()
+                    if len(b) <= CACHED_LENGTH and len(self.marks) < CACHE:
+                        self.marks[b] = y
+                out = self[a] + y
+            else:
+                out = array("I", self.piece(a.encode())).tobytes()
+        if len(word) <= CACHED_LENGTH:
+            self[word] = out
+        return out
+
+
 class WordTokenizer:
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,8 +58,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {"": b""}
-        self.piece = self._pieces(file)
+        self.cache = Words(self._pieces(file), self._ids)
 
     def _pieces(self, file: str):
         """A faster encoder of one pre-token, from the same file, where the file has plain byte-level BPE whose ids are in the order
@@ -54,24 +80,7 @@ class WordTokenizer:
         if merged != sorted(merged) or len(merged) + 256 != len(vocab):
             return None
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
-        return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of letters and punctuation after them; None for other words."""
-        m = PLAIN.fullmatch(word)
-        if m is None:
-            return None
-        a, b = m.groups()
-        if not b:
-            return array("I", self.piece(a.encode())).tobytes()
-        cache = self.cache
-        if (x := cache.get(a)) is None:
-            x = cache[a] = array("I", self.piece(a.encode())).tobytes()
-        if (y := cache.get(b)) is None:
-            y = array("I", self.piece(b.encode())).tobytes()
-            if len(b) <= CACHED_LENGTH:
-                cache[b] = y
-        return x + y
+        return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,17 +107,9 @@ class WordTokenizer:
             for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
                 out[k] = ids
             chosen = sorted({*chosen} - {*whole})
-        keys = [texts[k].replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for k in chosen]
-        values = [list(map(cache.get, ks)) for ks in keys]
-        missing = list({s for ks, vs in zip(keys, values) if None in vs for s, v in zip(ks, vs) if v is None})
-        new = {s: self._word(s) for s in missing} if self.piece else dict.fromkeys(missing)
-        if other := [s for s, ids in new.items() if ids is None]:
-            new.update(zip(other, self._ids(other)))
-        for s, v in new.items():
-            if len(s) <= CACHED_LENGTH:
-                cache[s] = v
-        for k, ks, vs in zip(chosen, keys, values):
-            out[k] = b"".join([new[s] if v is None else v for s, v in zip(ks, vs)] if None in vs else vs)
+        get = cache.__getitem__
+        for k in chosen:
+            out[k] = b"".join(map(get, texts[k].replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
 
 TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -40,7 +40,7 @@ n AS (SELECT lang, count(*) AS n FROM e GROUP BY lang HAVING count(*) >= {math.c
 k AS (SELECT count(*) AS strata FROM n),
 plan AS (SELECT lang, n, CASE WHEN {_risky("0", "n", str(RISK / 3), f"{LEVEL} / (3 * strata)")} THEN 3 ELSE 0 END AS joint FROM n, k),
 s(rule, step, x0, x1, x2) AS (VALUES {_steps()}),
-m AS (SELECT p.lang, rule, step, x0, x1, x2, any_value(n) AS n, count_if(r0 > x0 OR r1 > x1 OR r2 > x2)::BIGINT AS errors FROM plan p JOIN s ON (rule = 3) = (joint = 3) JOIN e ON p.lang IS NOT DISTINCT FROM e.lang GROUP BY ALL),
+m AS (SELECT p.lang, rule, step, x0, x1, x2, any_value(n) AS n, count_if(coalesce(r0 > x0, false) OR coalesce(r1 > x1, false) OR coalesce(r2 > x2, false))::BIGINT AS errors FROM plan p JOIN s ON (rule = 3) = (joint = 3) JOIN e ON p.lang IS NOT DISTINCT FROM e.lang GROUP BY ALL),
 f AS (SELECT m.*, {_risky("errors", "n", f"CASE WHEN rule = 3 THEN {RISK} ELSE {RISK / 3} END", f"CASE WHEN rule = 3 THEN {LEVEL} / strata ELSE {LEVEL} / (3 * strata) END")} AS risky FROM m, k),
 ok AS (SELECT lang, rule, max(step) AS step FROM f WHERE step < (SELECT coalesce(min(step), 1000) FROM f z WHERE z.rule = f.rule AND z.lang IS NOT DISTINCT FROM f.lang AND z.risky) GROUP BY lang, rule),
 limits AS (SELECT ok.lang, min(x0) AS x0, min(x1) AS x1, min(x2) AS x2 FROM ok JOIN s ON ok.rule = s.rule AND ok.step = s.step GROUP BY ok.lang)
