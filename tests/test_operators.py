@@ -338,3 +338,27 @@ def test_numbers_over_ranges(spark):
     rows = [(k * 7919 % 1000,) for k in range(1000)]
     got = graph.numbered(spark.createDataFrame(rows, "x long").repartition(6), [F.desc("x")]).collect()
     assert {(r.x, r.ord) for r in got} == {(x, 1000 - x) for x in range(1000)}
+
+
+def test_file_system_of_a_workspace(spark, tmp_path):
+    from treelake.operators.vfs import FileSystem
+
+    base = spark.createDataFrame([("a.txt", "100644", o.object_id("blob", b"one\ntwo\n"), b"one\ntwo\n"), ("d/b", "100755", o.object_id("blob", b"x"), b"x")], workspace.FILES)
+    fs = FileSystem(workspace.Workspace(base))
+    assert fs.readdir() == ["a.txt", "d"] and fs.readdir("/d/") == ["b"] and fs.read_file("/d/../a.txt") == b"one\ntwo\n" and fs.exists("/") and not fs.exists("/none")
+    assert fs.stat("/a.txt") == {"type": "regular", "size": 8, "mtime": 0} and fs.stat("/d")["type"] == fs.stat("/")["type"] == "directory"
+    two = fs.write_file("/d/new", b"two").rm("/d/b")
+    assert two.readdir("/d") == ["new"] and fs.readdir("/d") == ["b"] and [r.path for r in two.grep("two").orderBy("path").collect()] == ["a.txt", "d/new"]
+    assert b"".join(bytes(r.data) for r in two.stream_read("/a.txt", line_range=(2, None)).collect()) == b"two\n"
+    assert {r.path for r in two.walk("/", include_dirs=True).collect()} == {"a.txt", "d", "d/new"} and fs.materialize(str(tmp_path / "m")) == 2
+    assert fs.capabilities() == {"read", "write", "lazy"}
+    for code, f in (("enoent", lambda: fs.stat("/q")), ("enotdir", lambda: fs.readdir("/a.txt")), ("eisdir", lambda: fs.read_file("/d")), ("eisdir", lambda: fs.rm("/d")), ("einval", lambda: fs.rm("/")), ("enotsup", lambda: fs.mkdir("/n")), ("eisdir", lambda: fs.write_file("/d", b""))):
+        with pytest.raises(TreelakeError) as e:
+            f()
+        assert e.value.code == code
+
+
+def test_headers_by_name(spark):
+    df = spark.createDataFrame([([("parent", "a"), ("tree", "t"), ("parent", "b")],), ([],)], "headers array<struct<name:string,value:string>>")
+    got = [r.m for r in df.select(x.headers_map(F.col("headers")).alias("m")).collect()]
+    assert got == [{"parent": ["a", "b"], "tree": ["t"]}, {}]

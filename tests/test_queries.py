@@ -29,3 +29,16 @@ def test_query_against_sql(spark, con, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted([tuple(row[i] for i in at) for row in r.fetchall()], key=repr)
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    every = __spark_entry__.queries()
+    assert "op1_sentencepiece" in every and "pipeline" in every or "op1_sentencepiece" not in every
+    for name in [n for n in sys.modules if n.startswith("treelake.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "treelake.llm", None)
+    assert __spark_entry__.queries() == QUERIES and __spark_entry__.oracle_sql() == ORACLE_SQL

@@ -125,6 +125,12 @@ def packet(payload: Column) -> Column:
     return F.concat(F.encode(F.lower(F.lpad(F.hex(F.octet_length(payload) + 4), 4, "0")), "UTF-8"), payload)
 
 
+def headers_map(headers: Column) -> Column:
+    """Values in order by name, of an array of (name, value)."""
+    names = F.array_distinct(F.transform(headers, lambda h: h["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(headers, lambda h: h["name"] == n), lambda h: h["value"])))
+
+
 _POINTER = r"^version https://git-lfs\.github\.com/spec/v1\n((?:ext-\+?[0-9]+-[a-z0-9][a-z0-9-]* [^ \n]+\n)*)oid (sha256:[0-9a-f]{64})\nsize (\+?[0-9]+)\n\z"
 
 

@@ -72,7 +72,7 @@ def _in_one_task(edges: DataFrame, extra: list, fn: Callable, schema: str) -> Da
             for s in range(0, len(frame), 100_000):
                 yield pa.RecordBatch.from_pandas(frame.iloc[s : s + 100_000], preserve_index=False)
 
-    return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
+    return edges.select("src", "dst").dropna().repartition(1).mapInArrow(run, schema)
 
 
 def _is_small(edges: DataFrame) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,17 @@ def entries(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame(rows, ENTRIES)
 
 
+def parse_table(texts: DataFrame) -> DataFrame:
+    """name and ENTRIES of configuration texts (name, text), parsed in tasks."""
+
+    def run(it):
+        for pdf in it:
+            rows = [(n, s, sub, i, k, v, j) for n, t in zip(pdf["name"], pdf["text"]) for i, (s, sub, pairs) in enumerate(Config.parse(t or "").sections) for j, (k, v) in enumerate(pairs)]
+            yield pd.DataFrame(rows, columns=["name", "section", "subsection", "sec_pos", "key", "value", "pos"])
+
+    return texts.select(F.col("name").cast("string"), "text").mapInPandas(run, "name string, " + ENTRIES)
+
+
 def get_all(table: DataFrame, section: str, key: str, subsection: str | None = None) -> DataFrame:
     """All values in order; section and key without case, subsection exactly."""
     hit = (F.lower("section") == section.lower()) & (F.lower("key") == key.lower()) & F.col("subsection").eqNullSafe(F.lit(subsection))

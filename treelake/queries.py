@@ -267,6 +267,16 @@ def config_get(spark, d):
     return settings.first_values(e)
 
 
+@query("SELECT r_name AS name, 'nations' AS section, r_name AS subsection, 'n' || n_nationkey AS key, n_name AS value, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1)::INTEGER AS pos FROM nation JOIN region ON n_regionkey = r_regionkey")
+def config_parse(spark, d):
+    """A text of configuration for each region, written with comments, quotes and continued lines."""
+    n = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.concat(F.lit("\tn"), F.col("n_nationkey").cast("string"), F.lit(' = "'), F.substring("n_name", 1, 2), F.lit('"'), F.expr("substring(n_name, 3)"), F.lit(" ; nation\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x.line), "# next\n")
+    texts = n.groupBy(F.col("r_name").alias("name")).agg(lines.alias("text")).select("name", F.concat(F.lit('[nations "'), "name", F.lit('"]\n'), "text").alias("text"))
+    return settings.parse_table(texts).select("name", "section", "subsection", "key", "value", "pos")
+
+
 # Changes
 
 

@@ -86,6 +86,11 @@ class Repo:
         """Trees and commits, and contents if blobs."""
         return Repo((self.objects if blobs else self.objects.where("type <> 'blob'")).persist(), self.refs)
 
+    @traced("fs.prefetch")
+    def prefetch_history(self) -> Repo:
+        """Commits, trees and tags."""
+        return Repo(self.objects.where("type in ('commit', 'tree', 'tag')").persist(), self.refs)
+
     def resolve(self, ref: str, peel: bool = False) -> str:
         """A commit's, tree's or tag's id by id, name, or short branch or tag name. peel follows tags to what they are of."""
         if HEX40.fullmatch(ref):

@@ -219,6 +219,38 @@ class Reader:
             waiting = later
         return [out[p] for p in places]
 
+    def settle(self) -> tuple[list[Obj], list[tuple[int, str, bytes]]]:
+        """What can be made of this pack alone, and the deltas that can't: place, id of the base, delta. Offset deltas on such ones need
+        objects of this pack, and so are an error."""
+        places, at, done, waiting = [], 12, {}, []
+        for _ in range(self.count):
+            places.append(at)
+            at = self.entry(at)[3]
+        todo = places
+        while todo:
+            later = []
+            for p in todo:
+                try:
+                    kind, content = self.at(p)
+                except TreelakeError as e:
+                    if e.code != "missing_base":
+                        raise
+                    later.append(p)
+                    continue
+                done[p] = Obj(kind, object_id(kind, content), content)
+                self.by_sha[done[p].sha] = p
+            if len(later) == len(todo):
+                break
+            todo = later
+        else:
+            later = []
+        for p in later:
+            code, base, delta, _ = self.entry(p)
+            if code != REF_DELTA:
+                raise TreelakeError("missing_base", at=p)
+            waiting.append((p, base, delta))
+        return [done[p] for p in places if p in done], waiting
+
 
 def read_pack(data: bytes, external: Callable | None = None, limits: Limits = Limits()) -> list[Obj]:
     return Reader(data, external, limits).objects()
@@ -391,6 +423,50 @@ class Index:
         return self.offsets[k] if k < hi and self.shas[k] == sha else None
 
 
+PENDING = "type string, sha string, size long, content binary, base string, at string"
+
+
+def pack_objects_across(spark: SparkSession, path: str, known: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """Objects of all packs under a path, where deltas may have their bases in other packs, or among known objects: those wait as rows and
+    are joined to their bases until none is left. A base that is nowhere is an error."""
+    from treelake.operators.graph import shared_table
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                done, waiting = Reader(data.as_py()).settle()
+                rows = [(o.type, o.sha, len(o.content), o.content, None, None) for o in done] + [(None, None, None, d, base, f"{name}:{k}") for k, base, d in waiting]
+                for s in range(0, len(rows), 1000):
+                    yield _rows(rows[s : s + 1000], (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()), PENDING)
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for kind, base, delta in zip(*[c.to_pylist() for c in b.columns]):
+                content = apply_delta(base, delta)
+                rows.append((kind, object_id(kind, content), len(content), content))
+            if rows:
+                yield _rows(rows, (pa.string(), pa.string(), pa.int64(), pa.binary()), OBJECTS)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pack").option("recursiveFileLookup", True).load(path)
+    table = shared_table(files.select("path", "content").mapInArrow(run, PENDING))
+    done, waiting = table.where("base is null").select("type", "sha", "size", "content"), table.where("base is not null").select("content", "base", "at")
+    for _ in range(most):
+        if waiting.isEmpty():
+            return done.dropDuplicates(["sha"])
+        bases = (done if known is None else done.unionByName(known.select("type", "sha", "size", "content"))).dropDuplicates(["sha"]).select(F.col("sha").alias("base"), "type", F.col("content").alias("whole"))
+        new = shared_table(waiting.join(bases, "base").select("type", "whole", "content").mapInArrow(join, OBJECTS))
+        left = shared_table(waiting.join(bases.select("base"), "base", "left_anti"))
+        if new.isEmpty():
+            break
+        done, waiting = done.unionByName(new), left
+    raise TreelakeError("missing_base", sha=waiting.first().base)
+
+
+def _rows(rows: list[tuple], kinds: tuple, ddl: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in ddl.split(", ")])
+
+
 def pack_objects(spark: SparkSession, path: str) -> DataFrame:
     """Objects of all packs under a path. A pack that can't be read fails its task."""
 

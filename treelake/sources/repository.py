@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -150,14 +151,74 @@ def put_object(path: str, kind: str, content: bytes) -> str:
     at = os.path.join(path, "objects", sha[:2], sha[2:])
     if not os.path.exists(at):
         os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(at + ".tmp", "wb") as f:
+        tmp = f"{at}.{uuid.uuid4().hex}"  # several tasks may write one object
+        with open(tmp, "wb") as f:
             f.write(encode_loose(kind, content))
             f.flush()
             os.fsync(f.fileno())
-        os.replace(at + ".tmp", at)
+        os.replace(tmp, at)
     return sha
 
 
+class ObjectWriter:
+    """A loose object written in pieces; nothing is there under its id until it is closed whole."""
+
+    def __init__(self, path: str, kind: str, size: int):
+        self.path, self.size, self.left = path, size, size
+        os.makedirs(os.path.join(path, "objects"), exist_ok=True)
+        self.tmp = os.path.join(path, "objects", f"tmp-{uuid.uuid4().hex}")
+        self.file, self.zip, self.sum = open(self.tmp, "wb"), zlib.compressobj(), hashlib.sha1()
+        self._put(b"%s %d\0" % (kind.encode(), size))
+
+    def _put(self, data: bytes) -> None:
+        self.sum.update(data)
+        self.file.write(self.zip.compress(data))
+
+    def write(self, data: bytes) -> None:
+        if len(data) > self.left:
+            self.cancel()
+            raise TreelakeError("object_size", want=self.size)
+        self.left -= len(data)
+        self._put(data)
+
+    def close(self) -> str:
+        """The id."""
+        if self.left:
+            self.cancel()
+            raise TreelakeError("object_size", want=self.size, got=self.size - self.left)
+        self.file.write(self.zip.flush())
+        self.file.flush()
+        os.fsync(self.file.fileno())
+        self.file.close()
+        sha = self.sum.hexdigest()
+        at = os.path.join(self.path, "objects", sha[:2], sha[2:])
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        os.replace(self.tmp, at)
+        return sha
+
+    def cancel(self) -> None:
+        self.file.close()
+        if os.path.exists(self.tmp):
+            os.unlink(self.tmp)
+
+
+def import_objects(objs: DataFrame, path: str) -> DataFrame:
+    """Writes objects (type, sha, content) as loose ones, in tasks: sha and error, which is null where it went well. An object whose
+    content has another id isn't written; the others are."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            errors = []
+            for kind, sha, content in zip(*[c.to_pylist() for c in b.columns]):
+                try:
+                    errors.append(None if object_id(kind, content) == sha and put_object(path, kind, content) else "id_mismatch")
+                except OSError as e:
+                    errors.append(f"os_error {e.errno}")
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(errors, pa.string())], ["sha", "error"])
+
+    return objs.select("type", "sha", "content").mapInArrow(run, "sha string, error string")
+
+
 def read_object(path: str, sha: str) -> tuple[str, bytes]:
     """Type and content of one loose object, or of one in a pack by the packs' indexes."""
     at = os.path.join(path, "objects", sha[:2], sha[2:])

@@ -92,12 +92,15 @@ def promised(spark: SparkSession, folder: str) -> DataFrame:
     return here.unionByName(there.join(here.select("sha"), "sha", "left_anti"))
 
 
+def missing(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
+    """Those of the ids (sha) that the folder lacks."""
+    return ids.select("sha").distinct().join(spark.read.parquet(f"{folder}/objects").select("sha"), "sha", "left_anti")
+
+
 def ensure(spark: SparkSession, folder: str, ids: DataFrame) -> int:
     """Keeps those of the ids (sha) that the folder lacks; how many these were."""
-    have = spark.read.parquet(f"{folder}/objects").select("sha")
-    missing = ids.select("sha").distinct().join(have, "sha", "left_anti")
     there = objects(spark, spark.read.schema(PROMISE).json(f"{folder}/promise").first().source)
-    new = shared_table(there.join(missing, "sha", "left_semi"))
+    new = shared_table(there.join(missing(spark, folder, ids), "sha", "left_semi"))
     new.write.mode("append").parquet(f"{folder}/objects")
     return new.count()
 
