@@ -648,3 +648,47 @@ def test_a_very_long_text(spark):
     crf = quality_crf.Crf(w=np.linspace(-0.1, 0.1, quality_crf.WIDTH), pair=np.eye(2), platt=(1.0, 0.0))
     assert all(0 <= r.score <= 1 for r in quality_crf.scores(docs, crf).collect())
     assert {r.doc_id: r.n_spans for r in pii.digests(docs, pii.fit(docs)).collect()} == dict.fromkeys(texts, 0)
+
+
+def test_quality_rules_query_against_sql(spark, tmp_path):
+    """Strata by rates, by joint cutoffs, and with too few labels; bad documents of all kinds."""
+    import duckdb
+
+    from treelake.llm import queries
+
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def text(k, bad):
+        w = words(rng.randrange(12, 40))
+        if bad == 1:
+            w = [x + rng.choice(("", "#", "$$")) for x in w]
+        lines = [" ".join(w[i : i + 6]) for i in range(0, len(w), 6)]
+        if bad == 2:
+            lines += [lines[0][:9]] * rng.randrange(3)
+        if bad == 3:
+            lines.append(" ".join(w[:5]))
+        return "\n".join(lines) + rng.choice(("", "\n", "\n\n"))
+
+    rows = []
+    for lang, n in (("en", 1900), ("de", 480), (None, 460), ("fr", 100)):
+        for _ in range(n):
+            k = len(rows)
+            rows.append((k, text(k, 0 if rng.random() < 0.9995 else rng.randrange(4)), lang, 1))
+        for _ in range(60):
+            rows.append((len(rows), text(0, 1 + rng.randrange(3)), lang, 0))
+    rows += [(len(rows) + k, rows[k][1], rows[k][2], 1) for k in range(200)] + [(9000, None, "en", 1), (9001, "", None, 1)]
+    spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = queries.op4_quality_rules(spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = sorted(map(tuple, df.select(*columns).collect()))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    r = con.execute(queries.ORACLE_SQL["op4_quality_rules"])
+    at = [[c[0] for c in r.description].index(c) for c in columns]
+    want = sorted(tuple(x[i] for i in at) for x in r.fetchall())
+    assert got == want
+    kept, failed = columns.index("kept"), columns.index("base_failed")
+    assert 20 < sum(not x[kept] and not x[failed] for x in got) < 400
