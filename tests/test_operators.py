@@ -362,3 +362,18 @@ def test_headers_by_name(spark):
     df = spark.createDataFrame([([("parent", "a"), ("tree", "t"), ("parent", "b")],), ([],)], "headers array<struct<name:string,value:string>>")
     got = [r.m for r in df.select(x.headers_map(F.col("headers")).alias("m")).collect()]
     assert got == [{"parent": ["a", "b"], "tree": ["t"]}, {}]
+
+
+def test_whole_contents_hold_few_rows():
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *a):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    b = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(1000)] + ["none"], "data": [("x" * 500 + ".\n") * 20] * 1000 + [None]})
+    out = list(grep.grep_whole(Files(), r"\.\n")(iter([b])))
+    assert max(x.nbytes for x in out) < 8 << 20 and sum(x.num_rows for x in out) == 20_000

@@ -98,6 +98,7 @@ def totals(files: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b)  # one row each
 
 
+HELD = 4 << 20  # bytes of rows that a search of whole contents holds before it gives them on
 WHOLE = "path string, line_number long, offset long, match string, line string"
 
 
@@ -114,11 +115,13 @@ def grep_whole(files: DataFrame, pattern: str, flags: int = 0, path_glob: str |
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = re.compile(pattern.encode(), flags)
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for b in it:
-            rows = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = data if isinstance(data, bytes) else data.encode()
-                if b"\0" in raw[:8192]:
+            rows, held = [], 0
+            contents = b.column(1).cast(pa.binary())  # the same buffers; one content at a time becomes an object
+            for k in range(b.num_rows):
+                path, raw = b.column(0)[k].as_py(), contents[k].as_py()
+                if raw is None or b"\0" in raw[:8192]:
                     continue
                 number, done, every = 1, 0, None  # line feeds are counted once, forward
                 for m in e.finditer(raw):
@@ -130,8 +133,12 @@ def grep_whole(files: DataFrame, pattern: str, flags: int = 0, path_glob: str |
                         every = every or [text(x) for x in raw.removesuffix(b"\n").split(b"\n")]
                         row += (every[max(0, number - 1 - before) : number - 1], every[number : number + after])
                     rows.append(row)
+                    held += 500 + len(row[3]) + len(row[4]) + sum(len(x) + 50 for c in row[5:] for x in c)
+                    if held > HELD:
+                        yield give(rows)
+                        rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield give(rows)
 
     some = files if path_glob is None else files.where(matches_glob(F.col("path"), path_glob))
     out = some.select("path", "data").mapInArrow(run, WHOLE + ", context_before array<string>, context_after array<string>" * around)
