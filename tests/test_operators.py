@@ -377,3 +377,20 @@ def test_whole_contents_hold_few_rows():
     b = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(1000)] + ["none"], "data": [("x" * 500 + ".\n") * 20] * 1000 + [None]})
     out = list(grep.grep_whole(Files(), r"\.\n")(iter([b])))
     assert max(x.nbytes for x in out) < 8 << 20 and sum(x.num_rows for x in out) == 20_000
+
+
+@pytest.mark.parametrize("hops", [32])
+def test_few_seeds_in_a_large_graph_by_broadcasts(spark, monkeypatch, hops):
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(graph, "NEAR_HOPS", hops)
+    if hops:
+        monkeypatch.setattr(graph, "_contracted", lambda *a: pytest.fail("the whole graph was contracted"))
+    rng = random.Random(4)
+    e = [(k, p) for k in range(1, 200) for p in {k // 2, k // 3, rng.randrange(k)}]
+    edges = spark.createDataFrame([*e, (150, None)], "src long, dst long")
+    one = lambda n: spark.createDataFrame([(n,)], "id long")
+    got = [r.id for r in graph.reachable(edges, one(150)).collect()]
+    assert sorted(got) == sorted(_reach(e, [150]))
+    assert {r.id for r in graph.to_send(edges, one(190), one(120)).collect()} == _reach(e, [190]) - _reach(e, [120])

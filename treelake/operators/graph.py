@@ -1,7 +1,8 @@
 """Commit and object graphs.
 
-What is reachable: graphs of at most LOCAL_EDGES edges (counted first) are walked by one task over arrays. Larger ones stay tables: the
-inner nodes of chains, which have one child and one parent, are taken out by pointer doubling, the rest is reached by frontier joins
+What is reachable: graphs of at most LOCAL_EDGES edges (counted first) are walked by one task over arrays. Larger ones stay tables, which
+are written once. Few seeds are first followed for NEAR_HOPS steps by broadcasts of what the last step found, so only hits are shuffled;
+that ends where what they reach is at most NEAR_IDS ids and not deeper. Where it doesn't end, all is done over tables: the inner nodes of chains, which have one child and one parent, are taken out by pointer doubling, the rest is reached by frontier joins
 against what is known, and chains come back by the child at their end. Lineage is cut in the shared checkpoint folder. Orders that
 depend on a queue run for each repository in one task, over the ids and times that its start reaches."""
 
@@ -19,9 +20,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 LOCAL_EDGES = 2_000_000  # edges that one task walks, some 100 MB
 LOCAL_SEEDS = 64  # labelled seeds that it walks from
+NEAR_HOPS = 32  # steps of broadcasts, each a scan of the edges
+NEAR_IDS = 100_000  # ids that these find and the driver holds
 HOPS = 4  # steps in one round, before it is compared with what is known
 PARTS = 8  # tables of what is known, before they are written as one
 
@@ -88,10 +93,39 @@ def _expand(edges: DataFrame, frontier: DataFrame, keys: list[str]) -> DataFrame
     return out.distinct()
 
 
+def _near(edges: DataFrame, seeds: list[tuple], keys: list[str], schema: str) -> DataFrame | None:
+    """keys of all that some seeds reach, or None where that is more than NEAR_IDS rows or deeper than NEAR_HOPS steps."""
+    if "binary" in schema:  # no keys of a set
+        return None
+    spark, known, frontier = edges.sparkSession, set(seeds), set(seeds)
+    for _ in range(NEAR_HOPS):
+        if len(known) > NEAR_IDS:
+            return None
+        level = F.broadcast(_local(spark, sorted(frontier), schema))
+        found = edges.join(level, F.col("src") == F.col("id")).select(*[F.col("dst").alias("id") if k == "id" else k for k in keys]).distinct()
+        frontier = {tuple(r) for r in found.limit(NEAR_IDS + 1).collect()} - known
+        if not frontier:
+            return _local(spark, sorted(known), schema)
+        known |= frontier
+    return None
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table whose size is known to the planner."""
+    kind = StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [[] for _ in kind]
+    return spark.createDataFrame(pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, kind)], kind.names), kind)
+
+
+def _written(edges: DataFrame) -> DataFrame:
+    """src, dst written once, so that no later step computes them again."""
+    return shared_table(edges.select("src", "dst").dropna())
+
+
 def _contracted(edges: DataFrame, seeds: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
     """Edges without the inner nodes of chains, and these (id) with the nearest node on their children's side that isn't one (top). A
     node has one parent and one child to be an inner one, and is no seed. Pointers double, so a chain of n takes log n rounds."""
-    e = shared_table(edges.select("src", "dst").distinct())
+    e = shared_table(edges.select("src", "dst").dropna().distinct())
     one_parent = e.groupBy(F.col("src").alias("id")).count().where("count = 1").select("id")
     inner = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("top")).where("n = 1").drop("n")
     inner = shared_table(inner.join(one_parent, "id", "left_semi").join(seeds.select("id"), "id", "left_anti"))
@@ -125,8 +159,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFr
     """id of all nodes that seeds (id) reach over edges (src, dst), seeds included, each once. Beyond LOCAL_EDGES a round for every HOPS
     steps between nodes that branch."""
     kind = dict(edges.dtypes)["src"]
-    some = [r.id for r in seeds.select("id").where("id is not null").distinct().limit(LOCAL_EDGES // 20 + 1).collect()]
-    if len(some) > LOCAL_EDGES // 20 or not _is_small(edges):
+    some = [r.id for r in seeds.select("id").where("id is not null").distinct().limit(max(LOCAL_EDGES // 20, NEAR_IDS) + 1).collect()]
+    small = len(some) <= LOCAL_EDGES // 20 and _is_small(edges)
+    if not small and len(some) <= NEAR_IDS:
+        edges = _written(edges)
+        if (near := _near(edges, [(i,) for i in some], ["id"], f"id {kind}")) is not None:
+            return near
+    if not small:
         return _closure(edges, seeds, ["id"], most)
     return _in_one_task(edges, some, lambda src, dst, nodes, reach, extra: [[nodes[reach(np.unique(extra))]]], f"id {kind}")
 
@@ -134,7 +173,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFr
 def labelled_reach(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> DataFrame:
     """seed, id: the same for several seeds (seed, id) at once."""
     some = [(r.seed, r.id) for r in seeds.select("seed", "id").distinct().limit(LOCAL_SEEDS + 1).collect()]
-    if len(some) > LOCAL_SEEDS or not _is_small(edges):
+    schema = f"seed {dict(seeds.dtypes)['seed']}, id {dict(edges.dtypes)['src']}"
+    small = len(some) <= LOCAL_SEEDS and _is_small(edges)
+    if not small and len(some) <= LOCAL_SEEDS and all(None not in r for r in some):
+        edges = _written(edges)
+        if (near := _near(edges, some, ["seed", "id"], schema)) is not None:
+            return near
+    if not small:
         return _closure(edges, seeds, ["seed", "id"], most)
     labels = sorted({s for s, _ in some})
 
@@ -143,7 +188,7 @@ def labelled_reach(edges: DataFrame, seeds: DataFrame, most: int = 100_000) -> D
             got = nodes[reach(np.array(sorted({int(k) for k, (s, _) in zip(extra, some) if s == label}), dtype=np.int64))]
             yield [[label] * len(got), got]
 
-    return _in_one_task(edges, [i for _, i in some], walk, f"seed {dict(seeds.dtypes)['seed']}, id {dict(edges.dtypes)['src']}")
+    return _in_one_task(edges, [i for _, i in some], walk, schema)
 
 
 def object_edges(commits: DataFrame, tree_entries: DataFrame, tags: DataFrame | None = None) -> DataFrame:
