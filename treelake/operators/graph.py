@@ -312,8 +312,9 @@ def ordered_walk(commits: DataFrame, starts: DataFrame, order: str = "date", mos
         out = choose(pdf["start"].iloc[0], parents, dict(zip(pdf["sha"], map(int, pdf["time"]))))[:most]
         return pd.DataFrame({"repo": [key[0]] * len(out), "ord": range(len(out)), "sha": out})
 
-    mine = commits.join(starts, "repo")
+    few = starts.limit(NEAR_IDS + 1).count() <= NEAR_IDS  # a repository's commits aren't shuffled to one task
     name = lambda sha: F.concat_ws("\n", "repo", sha)
+    mine = shared_table(commits.join(F.broadcast(starts) if few else starts, "repo").select("repo", "sha", "parents", "time", "start"))
     edges = mine.select(name("sha").alias("src"), F.explode("parents").alias("_p"), "repo").select("src", name("_p").alias("dst"))
     inside = reachable(edges, starts.select(name("start").alias("id")))
     mine = mine.withColumn("id", name("sha")).join(inside, "id", "left_semi").drop("id")
