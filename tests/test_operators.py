@@ -394,3 +394,19 @@ def test_few_seeds_in_a_large_graph_by_broadcasts(spark, monkeypatch, hops):
     got = [r.id for r in graph.reachable(edges, one(150)).collect()]
     assert sorted(got) == sorted(_reach(e, [150]))
     assert {r.id for r in graph.to_send(edges, one(190), one(120)).collect()} == _reach(e, [190]) - _reach(e, [120])
+
+
+def test_an_ordered_walk_computes_its_commits_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    s = "repo string, sha string, parents array<string>, time long"
+    rows = [("r", "M", ["B", "C"], 4), ("r", "B", ["A"], 3), ("r", "C", ["A"], 2), ("r", "A", [], 1), ("r", "Z", ["M"], 5)]
+    commits = spark.createDataFrame(rows, s).mapInPandas(count, s)
+    got = graph.ordered_walk(commits, spark.createDataFrame([("r", "M")], "repo string, start string"), "topo").orderBy("ord").collect()
+    assert [r.sha for r in got] == ["M", "B", "C", "A"] and seen.value == len(rows)
