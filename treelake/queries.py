@@ -359,7 +359,7 @@ def log_date(spark, d):
 @query(f"WITH RECURSIVE {v.EDGES}, {_ANCESTORS.format(901)} SELECT count(*) AS commits, count(DISTINCT id) AS distinct_commits, 0::BIGINT AS parents_before_children FROM a")
 def topo_is_valid(spark, d):
     """Each ancestor is there once, and none before a child of its own."""
-    walk = ancestors_topo(spark, d).select(F.col("sha").cast("long").alias("id"), "ord")
+    walk = graph.shared_table(ancestors_topo(spark, d).select(F.col("sha").cast("long").alias("id"), "ord"))  # used three times
     e = v.edges(spark, d).join(walk.toDF("src", "child"), "src").join(walk.toDF("dst", "parent"), "dst").where("parent <= child")
     return walk.agg(F.count("*").alias("commits"), F.count_distinct("id").alias("distinct_commits")).join(e.agg(F.count("*").alias("parents_before_children")))
 
