@@ -307,7 +307,7 @@ _LINE_PAIRS = "h AS (SELECT a.conv_id, b.turn AS version, string_agg(a.turn || '
 
 @query(f"WITH {_LINE_PAIRS}, s AS (SELECT conv_id, version, count(*) AS n FROM l GROUP BY 1, 2), k AS (SELECT b.conv_id, b.version, count(*) AS kept FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.version + 1 = b.version AND a.line = b.line GROUP BY 1, 2) SELECT b.conv_id || ':' || b.version AS key, coalesce(kept, 0)::BIGINT AS kept, (b.n - coalesce(kept, 0))::BIGINT AS added, (a.n - coalesce(kept, 0))::BIGINT AS removed FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.version + 1 = b.version LEFT JOIN k ON k.conv_id = b.conv_id AND k.version = b.version")
 def line_diff(spark, d):
-    """Lines have their turn's number, so no two of a file are equal, and SQL can count what is kept."""
+    """Lines have their turn's number. Where a turn repeats a line r times, SQL counts it r * r times as kept."""
     h = v.history(spark, d, tagged=True)
     old = h.select("file", (F.col("version") + 1).alias("version"), F.col("text").alias("old"))
     return diff.line_diff(h.join(old, ["file", "version"]).select(F.concat_ws(":", "file", F.col("version").cast("string")).alias("key"), "old", F.col("text").alias("new")))
